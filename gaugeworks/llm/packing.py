@@ -17,6 +17,7 @@ pieces. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -40,7 +41,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 class PieceEncoder:
     """Token ids of texts, each distinct piece encoded once (the store is emptied at `most` pieces)."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,22 +54,44 @@ class PieceEncoder:
         self.kind[48:58] = 2
         self.kind[128:] = 4
         self.kind[[39, 60]] = 4  # contractions, and the marks of special tokens
+        self.kind[[*range(1, 9), *range(14, 32), 127]] = 4
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[int, int] = {}
-        self.ids, self.begin, self.count, self.filled = np.zeros(1 << 16, np.uint32), [], [], 0
-
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        for k, e in zip(keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = e.ids
-            if self.filled + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-            self.ids[self.filled : self.filled + len(ids)] = ids
-            self.at[k] = len(self.begin)
-            self.begin.append(self.filled)
-            self.count.append(len(ids))
-            self.filled += len(ids)
+        self.ids, self.filled = np.zeros(1 << 20, np.uint32), 0
+        self.begin, self.count = np.zeros(self.most + 1, np.int64), np.zeros(self.most + 1, np.int64)
+
+    def _store(self, keys: list[int], ids: np.ndarray, count: np.ndarray) -> None:
+        n, k = len(self.at), len(keys)
+        while self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        if n + k > len(self.begin):
+            self.begin, self.count = (np.concatenate([x, np.zeros(n + k, np.int64)]) for x in (self.begin, self.count))
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.count[n : n + k] = count
+        self.begin[n : n + k] = self.filled + np.cumsum(count) - count
+        self.filled += len(ids)
+        self.at.update(zip(keys, range(n, n + k), strict=True))
+
+    def _learn(self, keys: list[int], texts: list[str], simple: np.ndarray) -> None:
+        """Simple pieces give one word each, whose last token bears the word's end: many are encoded as one text."""
+        run = np.flatnonzero(simple).tolist()
+        if run:
+            lines = [" ".join([texts[i] for i in run[k : k + 256]]) for k in range(0, len(run), 256)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(run):
+                self._store([keys[i] for i in run], ids, np.diff(ends, prepend=0))
+            else:
+                simple = np.zeros(len(keys), bool)
+        own = np.flatnonzero(~simple).tolist()
+        if own:
+            got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([texts[i] for i in own], add_special_tokens=False)]
+            self._store([keys[i] for i in own], np.concatenate(got), np.array([len(x) for x in got]))
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with END_ID, and the n + 1 offsets."""
@@ -106,9 +129,11 @@ class PieceEncoder:
         if new:
             raw = low.tobytes()
             f = first[new]
-            self._learn([keys[i] for i in new], [raw[a:b].decode() for a, b in zip(at[f].tolist(), end[f].tolist(), strict=True)])
+            simple = (kind[at[f]] == 1) | (kind[at[f]] == 3)
+            simple &= ~whole[np.searchsorted(starts, at[f], "right") - 1]
+            self._learn([keys[i] for i in new], [raw[a:b].decode() for a, b in zip(at[f].tolist(), end[f].tolist(), strict=True)], simple)
         entry = np.fromiter((self.at[k] for k in keys), np.int64, len(keys))[back]
-        begin, count = np.asarray(self.begin)[entry], np.asarray(self.count)[entry]
+        begin, count = self.begin[entry], self.count[entry]
         per = np.bincount(doc, count, n).astype(np.int64)
         off = np.concatenate([[0], np.cumsum(per + 1)])
         out = np.full(off[-1], END_ID, np.uint32)
@@ -119,6 +144,12 @@ class PieceEncoder:
         return out, off
 
 
+@functools.lru_cache(1)
+def encoder_for(path: str) -> PieceEncoder:
+    """One for each Python worker, which keeps it from task to task; the store only saves time."""
+    return PieceEncoder(path)
+
+
 def assign(lengths: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
     """(document, start, sequence, tokens) of every piece of a window, in the order of placing."""
     total = int(lengths.sum())
@@ -161,7 +192,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, window:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = PieceEncoder(path), TaskContext.get().partitionId()
+        encoder, part = encoder_for(path), TaskContext.get().partitionId()
         held: list[tuple] = []
         tokens = sequence = 0
 
