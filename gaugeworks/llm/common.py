@@ -104,7 +104,7 @@ class Poly:
     def __init__(self, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         self.of = rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(2**40, 2**62)) * 8 + 5
+        self.base = (int(rng.integers(2**40, 2**62)) * 8 + 5) % 2**64
         self.pw = np.ones(1, np.uint64)
         self.inv = np.ones(1, np.uint64)
 
