@@ -1,0 +1,240 @@
+"""Each operator against brute force on small tables with nulls, empties, ties, repeated rows, extra columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+pytest.importorskip("gaugeworks.llm")
+
+from gaugeworks.llm import chat, classifier, embedding_dedup, mixing, ngram_join, packing, pii, quality_rules, suffix_dedup, url_rules  # noqa: E402
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, source string, n int, rid string"
+
+
+def corpus(seed=1, n=60):
+    r = random.Random(seed)
+    vocab = ["".join(r.choices("abcdefghij", k=r.randint(2, 6))) for _ in range(400)]
+    text = lambda k: " ".join(r.choices(vocab, k=k))
+    shared = text(70)
+    rows = [(0, None), (1, ""), (2, " \n\t"), (3, "one two"), (4, "One\tTWO"), (5, "x" * 3000), (5, "x" * 3000)]
+    for i in range(6, n):
+        base = rows[r.randrange(7, len(rows))][1] if len(rows) > 8 and r.random() < 0.5 else text(r.randint(3, 200))
+        w = base.split(" ")
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        rows.append((i, " ".join(w) + (" " + shared if r.random() < 0.3 else "")))
+    rows += rows[10:14]
+    return [(i, t, None if i % 9 == 0 else f"s{i % 5}", i, "clash") for i, t in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.mark.parametrize("hot", [1, 4096])
+def test_suffix_dedup(docs, none, hot):
+    texts = [(i, (t or "").encode()) for i, t, *_ in corpus()]
+    seen = {}
+    for _, t in texts:
+        for a in range(len(t) - 199):
+            seen[t[a : a + 200]] = seen.get(t[a : a + 200], 0) + 1
+    want = []
+    for i, t in texts:
+        gone = np.zeros(len(t), bool)
+        for a in range(len(t) - 199):
+            if seen[t[a : a + 200]] > 1:
+                gone[a : a + 200] = True
+        kept = bytes(np.frombuffer(t, np.uint8)[~gone])
+        want.append((i, len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(docs, hot=hot).collect())) == sorted(want)
+    assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_suffix_sort():
+    from gaugeworks.llm.common import Poly
+
+    buf = np.frombuffer(bytes(random.Random(2).choices(b"ab", k=900)), np.uint8)
+    at = np.arange(800)
+    order, common = suffix_dedup.sort_suffixes(Poly(1), buf, at, np.zeros(800, int), 60)
+    keys = [buf[a : a + 60].tobytes() for a in at]
+    assert [keys[i] for i in order] == sorted(keys)
+    assert (suffix_dedup.repeated(Poly(1), buf, at, np.zeros(800, int), 12) == np.array([sum(buf[a : a + 12].tobytes() == buf[b : b + 12].tobytes() for b in at) > 1 for a in at])).all()
+    assert common.max() < 60
+
+
+def test_url_rules(spark):
+    rows = [(1, "HTTP://A.Example.com/en/x?q=1#z"), (2, "https://www.example.com/en/1"), (3, "https://m.b.net/es/2"), (4, None), (5, "nothing"), (6, "http://x.com"), (7, "http://com/"), (7, "http://com/"), (8, "http://q.org/es/9")]
+    out = {r.page_id: r for r in url_rules.filter_urls(spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, verdict string")).collect()}
+    got = {k: (r.host, r.path, r.rule) for k, r in out.items()}
+    assert got[1] == ("a.example.com", "/en/x", "example.com/en/") and out[1].verdict == "block"
+    assert got[2][2] == "www.example.com/en/" and out[2].verdict == "allow"
+    assert got[3][2] == "net/es/" and got[4] == ("", "", None) and got[6] == ("x.com", "", None) and got[7][2] == "com/"
+    assert out[4].verdict == "allow" and out[5].verdict == "allow"
+    assert url_rules.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_chat(spark):
+    rows = [(1, 0, "user", "a<|im_end|>\nb"), (1, 1, "assistant", "<\\|x|> <|"), (1, 1, "assistant", "<\\|x|> <|"), (2, None, None, None), (None, 3, "we\nird\\n", "t")]
+    out = {r.conv_id: r for r in chat.digests(spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn int, role string, text string, loss int")).collect()}
+    assert {k: r.n_turns for k, r in out.items()} == {1: 3, 2: 1, None: 1}
+    text = "".join(f"{a}\n{b}\n" for _, _, a, b in rows[:3])
+    assert out[1].turns_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert out[1].loss_sha256 == hashlib.sha256((rows[1][3] * 2).encode()).hexdigest()
+    assert out[None].turns_sha256 == hashlib.sha256(b"we\nird\\n\nt\n").hexdigest()
+    assert chat.unescape(chat.escape("<\\\\|<|")) == "<\\\\|<|"
+    assert chat.fold(chat.parse("{% if 'a' == 'a' %}x{{ 'b' + 'c' }}{% else %}y{% endif %}")) == ("block", (("text", "xbc"),))
+    with pytest.raises(chat.TemplateError):
+        chat.parse("{{ a.__class__() }}")
+
+
+def test_mixing(docs, none):
+    rows = mixing.mix_sources(docs, block_words=500).collect()
+    size = lambda t: len(WORD.findall(t or ""))
+    assert sorted((r.doc_id, r.size) for r in rows) == sorted((i, size(t)) for i, t, *_ in corpus())
+    by = {}
+    for r in rows:
+        assert 0 <= r.taken <= 3 * r.size and sum(c.words for c in r.copies) == r.taken
+        s = by.setdefault(r.source, [0, r.source_size, r.target])
+        s[0] += r.taken
+    assert all(abs(t - goal) <= 1 and goal <= 3 * s + 1e-6 for t, s, goal in by.values())
+    assert abs(sum(g for *_, g in by.values()) - sum(r.size for r in rows)) < 1e-6
+    again = mixing.mix_sources(docs, block_words=500).collect()
+    assert sorted((r.doc_id, r.taken, str(r.copies)) for r in rows) == sorted((r.doc_id, r.taken, str(r.copies)) for r in again)
+    assert sum(size(r.text) for r in mixing.mix_documents(docs, block_words=500).collect()) == sum(r.taken for r in rows)
+    assert mixing.mix_sources(none).count() == 0
+
+
+def test_quality_rules(docs, none):
+    for r, (_, t, *_) in zip(sorted(quality_rules.quality_rules(docs).collect(), key=lambda r: r.doc_id), sorted(corpus(), key=lambda x: x[0]), strict=True):
+        w = WORD.findall(t or "")
+        grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        hit = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 8)}
+        assert (r.n_words, r.n_repeat_words, r.base_failed) == (len(w), len(hit), len(w) < 20 or 100 * len(hit) > 30 * len(w))
+    assert quality_rules.quality_rules(none).count() == 0
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.vocabulary())
+    want = sorted((i, t.encode(x or "", add_special_tokens=False).ids + [2]) for i, x, *_ in corpus())
+    rows = packing.pack(docs, with_ids=True).collect()
+    whole = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length
+        whole.setdefault(r.doc_id, []).append(r)
+    assert sum(r.length for r in rows) == sum(len(x) for _, x in want)
+    single = {i: x for i, x in want if sum(j == i for j, _ in want) == 1}
+    assert all([k for r in whole[i] for k in r.ids] == x for i, x in single.items())
+    seqs = {}
+    for r in rows:
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in seqs.values():
+        s.sort()
+        total = sum(n for _, n in s)
+        assert [o for o, _ in s] == list(np.cumsum([0] + [n for _, n in s])[:-1]) and total <= 4096 and total & (total - 1) == 0
+    assert packing.pack(none).count() == 0
+    enc = packing.PieceEncoder(packing.vocabulary())
+    for x in ("don't !'s É.É 12a3 <|endoftext|>x", "Ünï'll ×÷ «é» İ Σς naïve—no", "a\x1cb ñ½ ª²"):
+        buf = np.frombuffer(x.encode(), np.uint8)
+        assert enc.encode(buf, np.array([0, len(buf)]))[0].tolist()[:-1] == t.encode(x, add_special_tokens=False).ids
+
+
+def test_near_copies(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(30, 8))
+    rows = [(i, [float(x) for x in base[i % 30] + 0.15 * rng.normal(size=8)]) for i in range(150)]
+    rows += [(200 + i, rows[0][1]) for i in range(5)]
+    odd = [(300, None), (301, []), (302, [0.0] * 8), (303, [float("nan")] * 8), (304, [1.0] * 7), (305, [1.0, None] + [0.0] * 6)]
+    out = {r.vec_id: r for r in embedding_dedup.near_copies(spark.createDataFrame([(*r, 1) for r in rows + odd], "vec_id long, embedding array<double>, label int"), block=40, centres=4).collect()}
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    comp = np.arange(len(u))
+    while True:
+        new = np.array([comp[link[i]].min() for i in range(len(u))])
+        if (new == comp).all():
+            break
+        comp = new
+    for i, (vid, _) in enumerate(rows):
+        assert (out[vid].n_links, out[vid].component_id) == (int(link[i].sum()) - 1, rows[comp[i]][0])
+    assert all((out[v].n_links, out[v].component_id, out[v].kept) == (0, v, True) for v, _ in odd)
+    assert embedding_dedup.near_copies(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_classifier(spark, docs, none):
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefg", k=5))
+    rows = [(i, " ".join(word() + ("***" if i % 3 == 0 else "") for _ in range(30))) for i in range(300)]
+    d = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    out = classifier.classify(d, classifier.train(d, labels)).collect()
+    held = [x for x in out if x.held_out and x.doc_id < 900]
+    assert held and np.mean([x.predicted == int(x.doc_id % 3 > 0) for x in held]) > 0.95
+    assert all(0 <= x.score <= 1 for x in out) and len(out) == 302
+    assert {x.doc_id: x.held_out for x in out} == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in [*range(300), 900, 901]}
+    assert classifier.classify(none, classifier.train(none, labels.limit(0))).count() == 0
+
+
+def test_pii(spark, none):
+    text = "Mrs. Anna Smith, A.b@X.com and a.b@x.com, (212) 555-1234 or 212-555-1234, 4111 1111 1111 1111, 10.1.2.3, password=abc123def"
+    rows = [(1, text, 0), (2, "again 212-555-1234.", 0), (3, None, 0), (4, "", 0), (5, "clean text, version 4.0 of 1234 things", 0), (1, text, 0)]
+    out = pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string, found int")).collect()
+    t = {r.doc_id: r for r in out}
+    for secret in ("Anna", "Smith", "A.b@X", "555-1234", "4111 1111 1111 1111", "10.1.2.3", "abc123def"):
+        assert secret not in t[1].text
+    phones = re.findall(r"\(?\d{3}\)?[ -]\d{3}-\d{4}", t[1].text + t[2].text)
+    assert len(phones) == 3 and len({re.sub(r"\D", "", p) for p in phones}) == 1
+    assert (t[3].text, t[4].text, t[5].text) == (None, "", rows[4][1]) and t[3].n_entities == 0
+    assert pii.replace_pii(none).count() == 0
+
+
+def test_pii_collisions(spark):
+    e = spark.createDataFrame([(f"{i:03d}-12-3456",) for i in range(300)], "entity string").selectExpr("entity", "'national_id' as kind", "regexp_replace(entity, '-', '') as canon")
+    assert pii.redrawn(e) is None or pii.redrawn(e).count() < 300
+
+
+@pytest.mark.parametrize("few", [16, 1])
+def test_ngram_join(docs, none, few, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    rows = corpus()
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, t, *_ in rows:
+        w = WORD.findall((t or "").translate(low))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    comp = [r[0] for r in rows]
+    link = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    for _ in rows:
+        comp = [min([comp[i]] + [comp[j] for j in range(len(rows)) if link(sets[i], sets[j]) or rows[i][0] == rows[j][0]]) for i in range(len(rows))]
+    want = sorted((r[0], len(s), c) for r, s, c in zip(rows, sets, comp, strict=True))
+    got = ngram_join.similar_documents(docs).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect())) == want
+    assert ngram_join.similar_documents(none).count() == 0
+
+
+def test_t_occurrence():
+    r = np.random.default_rng(6)
+    sets = [np.unique(r.integers(0, 60, 40).astype(np.uint64)) for _ in range(80)]
+    index, sizes = ngram_join.inverted(sets)
+    for q in sets[:20]:
+        want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 80 * len(np.union1d(q, s))]
+        assert ngram_join.t_occurrence(q, index, sizes).tolist() == want
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert set(packing.COLUMNS) == set(out.columns) and out.count() > 0
