@@ -45,6 +45,7 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the Arrow batches that reach Python: documents may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
 
 
 def ascii_lower(c: Column) -> Column:
