@@ -7,8 +7,8 @@ only if their centres' distance is at most the radii plus the threshold; then a
 two roots drops node pairs that lie too far apart for any of their points, and compares what is left in
 double precision. Vectors have norm 1, so cosine >= t is Euclidean distance <= sqrt(2 - 2 t).
 
-Node pairs, not point pairs, are what a task holds, in slices of bounded size. Links are counted with
-multiplicities per point, and each block pair's links shrink to a spanning forest before the components.
+Nodes meet as matrix products in slices of bounded size; a task holds two blocks. Links are counted with
+multiplicities per point, and each block pair's links shrink to a set's label before the components.
 
 Cost. In high dimension unrelated vectors are nearly orthogonal and no metric bound keeps their blocks
 apart; the traversal then compares tight nodes (near-copies of one vector), so the work falls with the
@@ -21,6 +21,7 @@ that occurs twice gets one row per occurrence. No rows give no rows. Other colum
 
 from __future__ import annotations
 
+import io
 import math
 from collections.abc import Iterable, Iterator
 
@@ -31,9 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, table, written
-from .graph import Unions, components
+from .graph import components
 
-COSINE, BLOCK, CENTRES = 0.9, 4096, 128
+COSINE, BLOCK, CENTRES, LEAF = 0.9, 8192, 128, 32
+_NUMBERS, _SMALL = 1 << 22, 32 << 20  # of a block; bytes of all trees up to which they are broadcast
 _SLACK = 1e-6  # the bounds are wider than any rounding; the last comparison is exact
 
 
@@ -47,51 +49,70 @@ def units(x: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(y).all(axis=1, keepdims=True) & (top > 0), y, 0.0)
 
 
-def build(points: np.ndarray, leaf: int = 1) -> dict[str, np.ndarray]:
+def net(points: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+    """A greedy net: centres farther than half from one another, the first point among them, and for each point the number of a centre within half."""
+    limit, n = 1 - half * half / 2, len(points)
+    centres, belongs, at = np.zeros(0, np.int64), np.zeros(n, np.int64), points[:0]
+    for k in range(0, n, 256):
+        chunk = np.arange(k, min(k + 256, n))
+        if len(centres):
+            dots = points[chunk] @ at.T
+            best = dots.argmax(1)
+            near = dots[np.arange(len(chunk)), best] >= limit
+            belongs[chunk[near]] = best[near]
+            chunk = chunk[~near]
+        dots = points[chunk] @ points[chunk].T
+        free, own = np.ones(len(chunk), bool), []
+        for i in range(len(chunk)):
+            if free[i]:
+                mine = free & (dots[i] >= limit)
+                mine[i] = True
+                belongs[chunk[mine]] = len(centres) + len(own)
+                free &= ~mine
+                own.append(chunk[i])
+        if own:
+            centres = np.concatenate([centres, np.array(own, np.int64)])
+            at = points[centres]
+    return centres, belongs
+
+
+def build(points: np.ndarray, leaf: int = LEAF) -> dict[str, np.ndarray]:
     """A cover tree as arrays: node -> centre (a point), covering radius, slice of children, slice of `order`.
 
     A node of radius r takes as children a greedy net of radius r / 2 over its points; the first is its own
-    centre again (nesting). Nodes of one point, or of radius 0, are leaves.
+    centre again (nesting). Nodes of at most `leaf` points, or of hardly any radius, are leaves.
     """
-    centre, radius, first, last, begin, end = [], [], [], [], [], []
-    order = np.arange(len(points))
-
-    def add(lo: int, hi: int) -> int:
-        d = np.sqrt(np.maximum(0, ((points[order[lo:hi]] - points[order[lo]]) ** 2).sum(1)))
-        centre.append(order[lo])
-        radius.append(float(d.max(initial=0)))
-        first.append(0)
-        last.append(0)
-        begin.append(lo)
-        end.append(hi)
-        return len(centre) - 1
-
-    todo = [add(0, len(points))] if len(points) else []
+    n = len(points)
+    order = np.arange(n)
+    root = float(np.sqrt(np.maximum(0, 2 - 2 * (points @ points[0])).max())) if n else 0.0
+    centre, radius, first, last, begin, end = ([x] if n else [] for x in (0, root, 0, 0, 0, n))
+    todo = [0] if n else []
     while todo:
-        n = todo.pop()
-        lo, hi = begin[n], end[n]
-        if hi - lo <= leaf or radius[n] <= 1e-9:
+        v = todo.pop()
+        lo, hi = begin[v], end[v]
+        if hi - lo <= leaf or radius[v] <= _SLACK:
             continue
-        own = order[lo:hi]
-        half, rest, groups = radius[n] / 2, np.arange(hi - lo), []
-        near = np.full(hi - lo, np.inf)
-        belongs = np.zeros(hi - lo, np.int64)
-        while len(rest):  # the net: each new centre lies farther than half from those before
-            c = rest[0]
-            d = np.sqrt(np.maximum(0, ((points[own] - points[own[c]]) ** 2).sum(1)))
-            closer = d < near
-            near[closer], belongs[closer] = d[closer], len(groups)
-            groups.append(c)
-            rest = rest[d[rest] > half]
-        belongs[groups] = np.arange(len(groups))
-        position = np.lexsort((np.arange(hi - lo), ~np.isin(np.arange(hi - lo), groups), belongs))
+        own = order[lo:hi].copy()
+        p = points[own]
+        groups, belongs = net(p, radius[v] / 2)
+        if len(groups) < 2:
+            continue
+        member = np.ones(hi - lo, bool)
+        member[groups] = False  # a child's centre leads its slice
+        position = np.lexsort((member, belongs))
         order[lo:hi] = own[position]
         sizes = np.bincount(belongs, minlength=len(groups))
-        first[n], at = len(centre), lo
-        for s in sizes.tolist():
-            todo.append(add(at, at + s))
-            at += s
-        last[n] = len(centre)
+        starts = np.cumsum(sizes) - sizes
+        far = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", p, p[groups[belongs]])))[position]
+        first[v] = len(centre)
+        centre += own[groups].tolist()
+        radius += np.maximum.reduceat(far, starts).tolist()
+        begin += (lo + starts).tolist()
+        end += (lo + starts + sizes).tolist()
+        first += [0] * len(groups)
+        last += [0] * len(groups)
+        last[v] = len(centre)
+        todo += range(first[v], last[v])
     kinds = {"centre": (centre, np.int64), "radius": (radius, np.float64), "first": (first, np.int64), "last": (last, np.int64), "begin": (begin, np.int64), "end": (end, np.int64)}
     return {k: np.array(v, t) for k, (v, t) in kinds.items()} | {"order": order, "points": points}
 
@@ -103,11 +124,20 @@ def _spread(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
 
 
-def dual(x: dict, y: dict, cosine: float, same: bool, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Exact pairs (i, j) of points with cosine at or over the threshold, slice by slice; i < j if same.
+def _grouped(key: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(key):
+        return
+    order = np.argsort(key, kind="stable")
+    keys, at = np.unique(key[order], return_index=True)
+    yield from zip(keys.tolist(), np.split(of[order], at[1:]), strict=True)
+
 
-    The larger of two nodes opens; each side opens against all nodes that are left of the other side in
-    slices of at most about `most` node pairs.
+def dual(x: dict, y: dict, cosine: float, same: bool, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Exact pairs (i, j) of points with cosine at or over the threshold, slice by slice; if same, both (i, j) and (j, i), without i = j.
+
+    What is left to do is sets of nodes against sets of nodes. Of two nodes too near to drop the larger one
+    opens: its children meet all nodes that are left of the other side, as one matrix product in slices of
+    at most about `most` numbers.
     """
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + _SLACK
     if not len(x["centre"]) or not len(y["centre"]):
@@ -115,47 +145,86 @@ def dual(x: dict, y: dict, cosine: float, same: bool, most: int = 1 << 18) -> It
     stack = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         a, b = stack.pop()
-        if len(a) > most:
-            stack += [(a[k : k + most], b[k : k + most]) for k in range(0, len(a), most)]
+        step = max(1, most // len(b))
+        if len(a) > step:
+            stack += [(a[k : k + step], b) for k in range(0, len(a), step)]
             continue
-        p, q = x["centre"][a], y["centre"][b]
-        dots = np.einsum("ij,ij->i", x["points"][p], y["points"][q])
-        keep = np.sqrt(np.maximum(0, 2 - 2 * dots)) <= x["radius"][a] + y["radius"][b] + reach
-        a, b = a[keep], b[keep]
-        if not len(a):
+        if len(b) > most:
+            stack += [(a, b[k : k + most]) for k in range(0, len(b), most)]
             continue
-        leaf_a, leaf_b = x["last"][a] == 0, y["last"][b] == 0
-        done = leaf_a & leaf_b
-        if done.any():
-            w, i = _spread(x["begin"][a[done]], x["end"][a[done]])
-            v, j = _spread(y["begin"][b[done]][w], y["end"][b[done]][w])
-            i, j = x["order"][i[v]], y["order"][j]
-            if same:
-                i, j = i[i < j], j[i < j]
-            hit = np.einsum("ij,ij->i", x["points"][i], y["points"][j]) >= cosine
-            yield i[hit], j[hit]
-        a, b, leaf_a, leaf_b = a[~done], b[~done], leaf_a[~done], leaf_b[~done]
-        open_a = ~leaf_a & (leaf_b | (x["radius"][a] >= y["radius"][b]))
-        w, child = _spread(x["first"][a[open_a]], x["last"][a[open_a]])
-        v, other = _spread(y["first"][b[~open_a]], y["last"][b[~open_a]])
-        na, nb = np.concatenate([child, a[~open_a][v]]), np.concatenate([b[open_a][w], other])
-        for k in range(0, len(na), most):
-            stack.append((na[k : k + most], nb[k : k + most]))
-
-
-def _pack(tree: dict[str, np.ndarray]) -> bytes:
-    import io
-
-    out = io.BytesIO()
-    np.savez(out, **tree)
+        ra, rb = x["radius"][a], y["radius"][b]
+        dots = x["points"][x["centre"][a]] @ y["points"][y["centre"][b]].T
+        widest = min(2.0, float(ra.max() + rb.max()) + reach)
+        i, j = np.nonzero(dots >= 1 - widest * widest / 2 - _SLACK)
+        keep = np.sqrt(np.maximum(0, 2 - 2 * dots[i, j])) <= ra[i] + rb[j] + reach
+        i, j = a[i[keep]], b[j[keep]]
+        del dots
+        leaf_i, leaf_j = x["last"][i] == 0, y["last"][j] == 0
+        done = leaf_i & leaf_j
+        yield from _compared(x, y, i[done], j[done], cosine, same, most)
+        i, j, leaf_i, leaf_j = i[~done], j[~done], leaf_i[~done], leaf_j[~done]
+        opens = ~leaf_i & (leaf_j | (x["radius"][i] >= y["radius"][j]))
+        stack += [(np.arange(x["first"][v], x["last"][v]), others) for v, others in _grouped(i[opens], j[opens])]
+        stack += [(others, np.arange(y["first"][v], y["last"][v])) for v, others in _grouped(j[~opens], i[~opens])]
+
+
+def _compared(x: dict, y: dict, a: np.ndarray, b: np.ndarray, cosine: float, same: bool, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of points of leaf pairs (a, b): a matrix product for a leaf with much to meet, else pair by pair."""
+
+    def apart(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (i[i != j], j[i != j]) if same else (i, j)
+
+    size_a, size_b = x["end"][a] - x["begin"][a], y["end"][b] - y["begin"][b]
+    work = np.bincount(a, size_a * size_b, len(x["centre"])) if len(a) else np.zeros(len(x["centre"]))
+    big = work[a] >= 4096
+    for v, others in _grouped(a[big], b[big]):
+        i = x["order"][x["begin"][v] : x["end"][v]]
+        every = y["order"][_spread(y["begin"][others], y["end"][others])[1]]
+        step = max(1, most // len(i))
+        for k in range(0, len(every), step):
+            j = every[k : k + step]
+            m, n = np.nonzero(x["points"][i] @ y["points"][j].T >= cosine)
+            yield apart(i[m], j[n])
+    a, b = a[~big], b[~big]
+    cost = np.cumsum((size_a * size_b)[~big])
+    slices = max(1, most // (4 * x["points"].shape[1]))
+    at = 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + slices, "right")))
+        w, i = _spread(x["begin"][a[at:to]], x["end"][a[at:to]])
+        v, j = _spread(y["begin"][b[at:to]][w], y["end"][b[at:to]][w])
+        i, j = apart(x["order"][i[v]], y["order"][j])
+        hit = np.einsum("ij,ij->i", x["points"][i], y["points"][j]) >= cosine
+        yield i[hit], j[hit]
+        at = to
+
+
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (the smallest index of a set) after joining i with j."""
+    while True:
+        a, b = label[i], label[j]
+        differ = a != b
+        if not differ.any():
+            return label
+        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+        up = np.arange(len(label))
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
+
+def _pack(tree: dict[str, np.ndarray], raw: np.ndarray, p: np.ndarray, m: np.ndarray) -> bytes:
+    """With the vectors as they came, as 32-bit numbers where that loses nothing."""
+    out, short = io.BytesIO(), raw.astype(np.float32)
+    np.savez(out, raw=short if np.array_equal(short, raw) else raw, p=p, m=m, **{k: v for k, v in tree.items() if k != "points"})
     return out.getvalue()
 
 
 def _unpack(data: bytes) -> dict[str, np.ndarray]:
-    import io
-
     with np.load(io.BytesIO(data)) as f:
-        return {k: f[k] for k in f.files}
+        tree = {k: f[k] for k in f.files}
+    return tree | {"points": units(tree.pop("raw"))}
 
 
 def near_copies(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOCK, centres: int = CENTRES) -> DataFrame:
@@ -166,7 +235,8 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOC
     fit = F.lit(False) if width is None else F.coalesce((F.size("v") == width[0]) & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False))
     e = e.withColumn("v", F.when(fit, F.transform("v", lambda c: c + 0.0)))
     points = written(e.where("v is not null and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("p"), F.count("*").alias("m")))
-    sample = points.orderBy(F.xxhash64("p"), "p").limit(centres).collect()
+    block = max(2, min(block, _NUMBERS // max(1, width[0] if width else 1)))
+    sample = points.orderBy(F.xxhash64("p"), "p").limit(min(centres, -(-points.count() // block))).collect()
     if not sample:
         return embeddings.select(F.col("vec_id").cast("long"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     coarse = units(np.array([r.v for r in sample]))
@@ -175,22 +245,22 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOC
         for b in batches:
             u = units(np.array(b.column("v").flatten()).reshape(len(b), -1)) if len(b) else np.zeros((0, coarse.shape[1]))
             cell = np.argmax(u @ coarse.T, axis=1) if len(b) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("p"), b.column("m"), pa.array(list(u), pa.list_(pa.float64())), pa.array(cell, pa.int64())], ["p", "m", "u", "cell"])
+            yield pa.RecordBatch.from_arrays([b.column("p"), b.column("m"), b.column("v"), pa.array(cell, pa.int64())], ["p", "m", "v", "cell"])
 
-    points_in = written(points.mapInArrow(nearest, "p long, m long, u array<double>, cell long"))
+    points_in = written(points.select("p", "m", "v").mapInArrow(nearest, "p long, m long, v array<double>, cell long"))
     sizes = {r.cell: r["count"] for r in points_in.groupBy("cell").count().collect()}  # at most `centres` rows
     cut = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, -(-n // block))])
     blocked = points_in.withColumn("part", F.pmod(F.xxhash64("p"), F.element_at(cut, F.col("cell"))))
 
     def plant(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("p")
-        u = np.stack(df["u"].to_numpy())
-        tree = build(u)
+        raw = np.stack(df["v"].to_numpy())
+        u = units(raw)
         mid = u.mean(0)
         radius = float(np.sqrt(((u - mid) ** 2).sum(1)).max())
-        return pd.DataFrame({"block": [int(key[0]) * (1 << 32) + int(key[1])], "mid": [mid.tolist()], "radius": [radius], "p": [df["p"].tolist()], "m": [df["m"].tolist()], "tree": [_pack(tree)]})
+        return pd.DataFrame({"block": [int(key[0]) * (1 << 32) + int(key[1])], "mid": [mid.tolist()], "radius": [radius], "tree": [_pack(build(u), raw, df["p"].to_numpy(), df["m"].to_numpy())]})
 
-    trees = written(blocked.groupBy("cell", "part").applyInPandas(plant, "block long, mid array<double>, radius double, p array<long>, m array<long>, tree binary"))
+    trees = written(blocked.groupBy("cell", "part").applyInPandas(plant, "block long, mid array<double>, radius double, tree binary"))
     # the top of the traversal: which blocks can hold a pair; a row per block, not per point
     tops = trees.select("block", "mid", "radius").orderBy("block").collect()
     ids, mids, radii = np.array([t.block for t in tops]), np.array([t.mid for t in tops]), np.array([t.radius for t in tops])
@@ -205,34 +275,35 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOC
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), one)), pa.array(mine)], ["a", "b"])
 
     meets = written(trees.select("block").mapInArrow(partners, "a long, b long"))
-    left = trees.select(F.col("block").alias("a"), F.col("p").alias("pa"), F.col("m").alias("ma"), F.col("tree").alias("ta"))
-    right = trees.select(F.col("block").alias("b"), F.col("p").alias("pb"), F.col("m").alias("mb"), F.col("tree").alias("tb"))
-    tasks = meets.repartition(F.xxhash64("a", "b")).join(left, "a").join(right, "b")
+    left = trees.select(F.col("block").alias("a"), F.col("tree").alias("ta"))
+    right = trees.select(F.col("block").alias("b"), F.col("tree").alias("tb"))
+    shares = max(spark.sparkContext.defaultParallelism, min(meets.count(), 20_000))
+    if trees.agg(F.sum(F.length("tree"))).first()[0] <= _SMALL:
+        tasks = meets.repartition(shares).join(F.broadcast(left), "a").join(F.broadcast(right), "b")
+    else:
+        tasks = meets.join(left, "a").join(right, "b").repartition(shares, "a", "b")
 
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 x, same = _unpack(r["ta"]), r["a"] == r["b"]
                 y = x if same else _unpack(r["tb"])
-                px, py = np.array(r["pa"]), np.array(r["pb"])
-                mx, my = np.array(r["ma"]), np.array(r["mb"])
-                nx, ny, sets = np.zeros(len(px), np.int64), np.zeros(len(py), np.int64), Unions()
+                p = x["p"] if same else np.concatenate([x["p"], y["p"]])
+                n, at, label = np.zeros(len(p), np.int64), 0 if same else len(x["p"]), np.arange(len(p))
                 for i, j in dual(x, y, cosine, same):
-                    np.add.at(nx, i, my[j])
-                    np.add.at(nx if same else ny, j, mx[i])
-                    for a, b in zip(px[i].tolist(), py[j].tolist(), strict=True):
-                        sets.join(a, b)
-                ends = dict(sets.links())
-                every = [(px, nx)] if same else [(px, nx), (py, ny)]
-                p = np.concatenate([q[n > 0] for q, n in every])
-                n = np.concatenate([n[n > 0] for _, n in every])
-                up = np.array([ends.get(q, q) for q in p.tolist()], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(n, pa.int64()), pa.array(up, pa.int64())], ["p", "n", "up"])
+                    np.add.at(n, i, y["m"][j])
+                    if not same:
+                        np.add.at(n, j + at, x["m"][i])
+                    label = merged(label, i, j + at)
+                least = np.full(len(p), np.iinfo(np.int64).max)
+                np.minimum.at(least, label, p)
+                some = n > 0
+                yield pa.RecordBatch.from_arrays([pa.array(p[some], pa.int64()), pa.array(n[some], pa.int64()), pa.array(least[label[some]], pa.int64())], ["p", "n", "up"])
 
     limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row holds two blocks
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row holds two blocks
     try:
-        found = written(tasks.select("a", "b", "pa", "pb", "ma", "mb", "ta", "tb").mapInArrow(links, "p long, n long, up long"))
+        found = written(tasks.select("a", "b", "ta", "tb").mapInArrow(links, "p long, n long, up long"))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
     comp = components(found.select(F.col("p").alias("a"), F.col("up").alias("b")))
