@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gw-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()  # frames in reference cycles hold plans, and their broadcasts, in the driver's JVM
     return spark.read.schema(df.schema).parquet(path)
 
 
