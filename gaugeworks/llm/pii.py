@@ -95,13 +95,19 @@ _SCRIPTS = {  # consonants and vowels; endings by gender
 
 def _name(word: Column, seed: Column, place: Column, female: Column) -> Column:
     """A capitalized word of the same script: syllables, and an ending for the gender."""
-    out = None
-    for script, (consonants, vowels, f, m) in _SCRIPTS.items():
-        letters = [_letter(of, _byte(seed, place * 16 + j)) for j, of in enumerate((consonants, vowels) * 4)]
-        made = F.concat(*letters, F.when(female, F.lit(consonants[6] + f)).otherwise(F.lit(m)))
-        found = word.rlike(script)
-        out = F.when(found, F.initcap(made)) if out is None else out.when(found, F.initcap(made))
-    return F.coalesce(out, word)
+
+    def by_script(value) -> Column:
+        out = None
+        for script, letters in _SCRIPTS.items():
+            out = F.when(word.rlike(script), F.lit(value(letters))) if out is None else out.when(word.rlike(script), F.lit(value(letters)))
+        return out
+
+    # consonants and vowels take turns; one expression serves all places and scripts, which keeps the plan small
+    of = lambda j: F.when(j % 2 == 0, by_script(lambda s: s[0])).otherwise(by_script(lambda s: s[1]))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.struct(of(j).alias("of"), _byte(seed, place * 16 + j).alias("b")))
+    letters = F.array_join(F.transform(drawn, lambda x: F.substring(x.of, (x.b % F.length(x.of) + 1).cast("int"), F.lit(1))), "")
+    ending = F.when(female, by_script(lambda s: s[0][6] + s[2])).otherwise(by_script(lambda s: s[3]))
+    return F.coalesce(F.initcap(F.concat(letters, ending)), word)
 
 
 def surrogates(found: Column, key: str = KEY) -> Column:
@@ -183,7 +189,7 @@ def redrawn(entities: DataFrame, key: str = KEY, rounds: int = 32) -> DataFrame
         df = df.withColumn("made", made)
         return df.withColumn("made", F.coalesce(canonical(F.col("made"), F.col("kind")), "made"))
 
-    state = drawn(every.withColumn("attempt", F.lit(0)))
+    state = written(drawn(every.withColumn("attempt", F.lit(0))))
     for turn in range(rounds):
         first = state.groupBy("group", "made").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n"))
         bad = state.join(first, ["group", "made"]).join(real, ["group", "made"], "left")
