@@ -62,12 +62,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         new = written(small)
-        # a forest of stars: no node is both a root and a leaf
-        if new.select("a").join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty() and new.groupBy("a").count().where("count > 1").isEmpty():
+        # a forest of stars: no node is both a root and a leaf, and no leaf has two edges
+        sides = new.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("root")), F.struct(F.col("b").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))))
+        if sides.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root")).where("leaf > 1 or (leaf > 0 and root > 0)").isEmpty():
             return new.select(F.col("a").alias("node"), F.col("b").alias("component"))
         e = new
     raise RuntimeError("components did not converge")
