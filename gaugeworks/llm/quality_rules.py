@@ -3,12 +3,14 @@
 A line fails if it is mostly symbols or shouting (more than one of `[#*$%&|<>!]` for two words), if it is
 a navigation bar (two or more stand-alone "|", and one for three words at most), if it holds a
 boilerplate phrase, or if it has many words and no sentence punctuation at all. A document that passes
-the base checks is kept if failing lines hold at most `max_lost` percent of its word characters.
+the base checks is kept if failing lines hold at most `max_lost` percent of its word characters. The
+cleaned text is its passing lines, blank ones among them, joined by line feeds; the query leaves it out.
 
 Everything stays inside one row: no shuffle, whatever the length or the skew of the documents.
 
-Defined results. Null, empty or white text: all counts 0, base_failed true, kept false. Repeated rows and
-ids each give their own row. Columns beyond doc_id and text are ignored.
+Defined results. Null, empty or white text: all counts 0, base_failed true, kept false, the text as it is.
+A text whose lines all pass is unchanged to the byte. Counts and base checks are those of the whole text.
+A document that is not kept has its cleaned text too. Repeated rows and ids each give their own row. Columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -45,9 +47,15 @@ def _chars(text: Column) -> Column:
     return F.length(F.translate(text, SPACES, ""))
 
 
+def cleaned(text: Column) -> Column:
+    """The lines that pass."""
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~line_fails(x)), "\n")
+
+
 def quality_rules(docs: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
+    """Counts and verdict of each document, and its cleaned text."""
     text = F.coalesce("text", F.lit(""))
-    a = docs.select("doc_id", text.alias("text"), words_of(F.col("text")).alias("w"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("l"))
+    a = docs.select("doc_id", text.alias("text"), cleaned(F.col("text")).alias("cleaned"), words_of(F.col("text")).alias("w"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("l"))
     n = F.size("w").cast("long")
     a = a.select(
         "*",
@@ -64,7 +72,7 @@ def quality_rules(docs: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
     a = a.select("*", F.when(F.col("s").isNotNull(), F.sort_array(F.array_distinct(F.flatten(same)))).alias("p"))
     steps = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda x, y: F.least(y - x, F.lit(WINDOW)).cast("long"))
     covered = F.when(F.col("p").isNotNull(), F.aggregate(steps, F.lit(WINDOW).cast("long"), lambda x, y: x + y)).otherwise(F.lit(0).cast("long"))
-    lost = F.aggregate(F.transform(F.filter("l", line_fails), lambda x: _chars(x).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    lost = _chars(F.col("text")) - F.coalesce(_chars(F.col("cleaned")), F.lit(0))
     a = a.select(
         "doc_id",
         "n_words",
@@ -72,16 +80,17 @@ def quality_rules(docs: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
         _count(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-        lost.alias("lost_chars"),
+        lost.cast("long").alias("lost_chars"),
+        F.col("cleaned").alias("text"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     a = a.select("*", failed.alias("base_failed"))
     kept = ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost * F.col("word_chars"))
-    return a.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lost_chars")
+    return a.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lost_chars", "text")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).drop("text")
 
 
 ORACLE = rf"""

@@ -124,6 +124,21 @@ def test_quality_rules(docs, none):
     assert quality_rules.quality_rules(none).count() == 0
 
 
+def test_quality_rules_text(spark):
+    prose = "A plain sentence of some words, which ends as sentences do."
+    bad = ["Home | News | About | Us", "### $$$ !!!", "Please Click Here now", " ".join(["word"] * 41)]
+    good = [prose, "", "  ", prose + " \t", "a | b", " ".join(["word"] * 40), prose.upper()]
+    texts = [None, "", " \n\t", "\n".join(bad), "\n".join(good) + "\n", "\n".join(x for pair in zip(bad, good, strict=False) for x in pair), "\n\n" + bad[0] + "\n\n" + "\n".join([prose, bad[1], prose, prose]), "\n".join([prose, bad[2], "Another line says something else, in twelve more words than it needs to."]) + "\n"]
+    out = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    size = lambda t: len("".join(WORD.findall(t or "")))
+    for i, t in enumerate(texts):
+        want = None if t is None else "\n".join(x for x in t.split("\n") if x not in bad)
+        assert out[i].text == want
+        assert out[i].lost_chars == size(t) - size(want)
+        assert out[i].kept == (not out[i].base_failed and 100 * (size(t) - size(want)) <= 50 * size(t))
+    assert out[7].kept and bad[2] not in out[7].text
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
