@@ -265,6 +265,35 @@ def test_ngram_join(docs, none, few, monkeypatch):
     assert ngram_join.similar_documents(none).count() == 0
 
 
+def unnamed():
+    """Rows of null and repeated ids: near copies of named and of unnamed texts, bridges, repeats, empties; and which texts link."""
+    r = random.Random(9)
+    fresh = lambda: ["".join(r.choices("abcdefghij", k=6)) for _ in range(150)]
+    near = lambda w, at: [*w[:at], "other", *w[at + 1 :]]
+    a, b, c, d, e = (fresh() for _ in range(5))
+    far = lambda w: [*w[15:], *r.choices(w, k=12)]
+    bridge = far(b)
+    rows = [(1, a), (None, near(a, 70)), (None, near(a, 20)), (2, b), (None, bridge), (3, far(bridge)), (None, c), (None, c), (None, near(c, 100)), (4, d), (4, e), (5, near(e, 50)), (4, d), (6, []), (6, []), (7, []), (None, []), (None, [])]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(8, None), (None, None)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in ((t or "").split() for _, t in rows)]
+    comp = list(range(len(rows)))
+    link = lambda x, y: x and y and 100 * len(x & y) >= 80 * len(x | y)
+    for _ in rows:
+        comp = [min([comp[i]] + [comp[j] for j in range(len(rows)) if link(sets[i], sets[j])]) for i in range(len(rows))]
+    assert not link(sets[3], sets[5]) and comp[3] == comp[5]
+    return rows, sets, comp
+
+
+@pytest.mark.parametrize("few", [16, 1])
+def test_ngram_join_null_ids(spark, few, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    rows, sets, comp = unnamed()
+    least = {c: min((i for (i, _), k in zip(rows, comp, strict=True) if k == c and i is not None), default=None) for c in comp}
+    want = [(i, len(s), least[c]) for (i, _), s, c in zip(rows, sets, comp, strict=True)]
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_t_occurrence():
     r = np.random.default_rng(6)
     sets = [np.unique(r.integers(0, 60, 40).astype(np.uint64)) for _ in range(80)]
