@@ -294,6 +294,19 @@ def test_ngram_join_null_ids(spark, few, monkeypatch):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+def test_pipeline_near_duplicates(spark):
+    import corpus_pipeline
+
+    rows, sets, comp = unnamed()
+    groups = {}
+    for (i, t), s, c in zip(rows, sets, comp, strict=True):
+        groups.setdefault((c,) if s else (i, t), []).append((i is None, i or 0, t))
+    got = [(r.doc_id is None, r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string"), "").collect()]
+    assert len(got) == len(groups)
+    for g in groups.values():  # of equal ids (or none), any row of the group
+        assert sum(x in g and x[:2] == min(g)[:2] for x in got) == 1 if g[0][2] else got.count(g[0]) == 1
+
+
 def test_t_occurrence():
     r = np.random.default_rng(6)
     sets = [np.unique(r.integers(0, 60, 40).astype(np.uint64)) for _ in range(80)]
