@@ -81,8 +81,11 @@ def profile_ids(raw: dict[str, Any]) -> dict[str, str]:
 
 
 def result_lines(df: DataFrame, **meta: Any) -> list[str]:
-    """A bounded report as {data, meta} JSON lines (the driver's output, not a bulk sink)."""
-    return [f'{{"data":{line},"meta":{canonical(meta)}}}' for line in df.toJSON().take(1000)]
+    """A bounded report as {data, meta} JSON lines (the driver's output, not a bulk sink: more than 1000 rows are an error)."""
+    lines = df.toJSON().take(1001)
+    if len(lines) > 1000:
+        raise ValueError("a report has at most 1000 rows; write more with export")
+    return [f'{{"data":{line},"meta":{canonical(meta)}}}' for line in lines]
 
 
 def export(df: DataFrame, path: str, kind: str = "parquet", by: tuple[str, ...] = ()) -> None:

@@ -172,3 +172,11 @@ def test_stream_equals_batch(spark, tmp_path):
     q = O.publish(O.deduped(O.read_events(spark, f"{tmp_path}/in", ev.schema)), f"{tmp_path}/out", f"{tmp_path}/ck", trigger=O.once())
     q.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == ev.dropDuplicates(["dedupe_key"]).count() == 7
+
+
+def test_result_lines_bound(spark):
+    from gaugeworks.sources.documents import result_lines
+
+    assert len(result_lines(spark.range(1000), run="r")) == 1000
+    with pytest.raises(ValueError, match="export"):
+        result_lines(spark.range(1001))
