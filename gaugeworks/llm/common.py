@@ -22,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _own: dict[str, str] = {}
+_begun: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one only in local mode (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         name = spark.sparkContext.applicationId
         if name not in _own:
             _own[name] = tempfile.mkdtemp(prefix="gaugeworks-")
@@ -35,13 +38,47 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def _path(spark: SparkSession, where: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back."""
+    """Cut the lineage: write df as Parquet to the shared folder and read it back. What an application wrote goes when its driver ends, or by `dropped`."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gw-{uuid.uuid4().hex}"
+    own = f"{shared_folder(spark)}/gw-{spark.sparkContext.applicationId}"
+    path = f"{own}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if own not in _begun:  # once it is there
+        p, files = _path(spark, own)
+        files.deleteOnExit(p)
+        _begun.add(own)
     gc.collect()  # frames in reference cycles hold plans, and their broadcasts, in the driver's JVM
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables that `written` made and that no plan needs any more."""
+    for df in frames:
+        p, files = _path(df.sparkSession, df.written_to)
+        files.delete(p, True)
+
+
+# ---- rows with columns of any name -------------------------------------------------------------
+
+
+def wrapped(docs: DataFrame, **own: Column) -> DataFrame:
+    """The whole row as one struct row_, and an operator's own columns beside it: no name of the input can clash with them."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row_"), *[c.alias(n) for n, c in own.items()])
+
+
+def unwrapped(df: DataFrame, *own: str, put: dict[str, Column] | None = None) -> DataFrame:
+    """The input's columns again (those in `put` replaced), then the operator's own; of equal names (in any case) only the operator's stays."""
+    put, mine = put or {}, {n.lower() for n in own}
+    names = df.schema["row_"].dataType.names
+    return df.select(*[put[n].alias(n) if n in put else F.col("row_")[n].alias(n) for n in names if n.lower() not in mine], *own)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
