@@ -3,17 +3,21 @@
 Two token streams describe a text: its words (lower-cased in ASCII, hashed) and their shapes (runs of
 character kinds: lower, upper, digit, high byte, each sign). A random index vector belongs to each hashed
 token; a token's vector sums the index vectors of its neighbours, and of the other stream's token at its
-place, over the training texts (random indexing), and an unseen token has its own index vector. Means over
+place, over all documents (random indexing), and an unseen token has its own index vector. Means over
 each stream, with the share of repeated words and the log length, feed the network (tanh, then logistic);
 a temperature fitted on a part of the training rows calibrates the probabilities.
 
-The model is fitted on at most `most` labelled rows (chosen by hash of the id), so the driver holds a
-bounded sample; scoring is one pass of the whole table without a shuffle. Training uses only rows whose
-crc32(doc_id as text) mod 5 is not 0; labels, lang, source and ids are never inputs.
+The context sums have a fixed size whatever the corpus: tasks add them up block by block, in two salted rounds.
+The network is fitted on at most `most` labelled rows (chosen by hash of the id, one text an id); of those only
+the features come to the driver, never a text. Scoring is one pass of the whole table without a shuffle.
+Training labels come only from rows whose crc32(doc_id as text) mod 5 is not 0; labels, lang, source and ids are
+never inputs.
 
 Defined results. Null and empty texts have a score (of the zero vector). A null doc_id counts as not held
-out. A doc_id labelled twice takes its highest label; null labels are skipped. Without both labels in the
-sample the score is the share of label 1 (0.5 without any label). Repeated rows score alike.
+out. A doc_id labelled twice takes its highest label, and of several texts the one with the least hash; null
+labels are skipped. Without both labels in the sample the score is the share of label 1 (0.5 without any
+label). Repeated rows score alike. Columns of any name pass through untouched, but for held_out, score and
+predicted, which give way to the operator's own.
 """
 
 from __future__ import annotations
@@ -25,11 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import LOWER, Poly, mixed, pieces, small_batches, table, utf8, word_spans
+from .common import LOWER, Poly, mixed, pieces, small_batches, table, unwrapped, utf8, word_spans, wrapped, written
 
 BUCKETS, DIM, HIDDEN, MOST, THRESHOLD = 1 << 14, 24, 24, 3000, 0.3
-_CHUNK = 1 << 20
+_CHUNK, _BLOCKS, _SALTS = 1 << 20, 64, 16  # bytes at a time; parts of the context sums; tasks that add up one of them first
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[:] = np.arange(256)  # a sign is its own kind
@@ -69,12 +74,19 @@ class Model:
     constant: float | None = None
 
 
-def index_vectors(seed: int = 5) -> np.ndarray:
+def index_places(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Of each stream's tokens: the four non-zero places of the index vector, and their signs."""
     rng = np.random.default_rng(seed)
+    places = rng.integers(0, DIM, (2, 4, BUCKETS))
+    return places, np.array([1, -1, 1, -1])
+
+
+def index_vectors() -> np.ndarray:
+    places, signs = index_places()
     out = np.zeros((2, BUCKETS, DIM), np.float32)
     for s in range(2):
-        for sign in (1, -1, 1, -1):  # four non-zero places
-            out[s, np.arange(BUCKETS), rng.integers(0, DIM, BUCKETS)] += sign
+        for place, sign in zip(places[s], signs, strict=True):
+            out[s, np.arange(BUCKETS), place] += sign
     return out
 
 
@@ -104,18 +116,61 @@ def pooled(vectors: np.ndarray, poly: Poly, buf: np.ndarray, offsets: np.ndarray
     return out
 
 
-def random_indexing(texts: list[bytes], poly: Poly, index: np.ndarray, reach: int = 2) -> np.ndarray:
-    out = np.zeros_like(index)
-    for text in texts:
-        buf = np.frombuffer(text, np.uint8)
-        _, words, shapes = tokens(poly, buf, np.array([0, len(buf)]))
+def context_sums(out: np.ndarray, poly: Poly, places: np.ndarray, signs: np.ndarray, buf: np.ndarray, offsets: np.ndarray, reach: int = 2) -> None:
+    """Add to out (2, BUCKETS * DIM): for each token the index vectors of its neighbours in the document, and of the other stream's token at its place."""
+    for a, b in pieces(offsets, _CHUNK):
+        lo = offsets[a]
+        doc, words, shapes = tokens(poly, buf[lo : offsets[b]], offsets[a : b + 1] - lo)
+        if not len(doc):
+            continue
         streams = [buckets(words), buckets(shapes)]
         for s, own in enumerate(streams):
-            context = index[1 - s][streams[1 - s]].copy()
-            for step in range(1, reach + 1):
-                context[step:] += index[s][own[:-step]]
-                context[:-step] += index[s][own[step:]]
-            np.add.at(out[s], own, context)
+            pairs = [(1 - s, own, streams[1 - s])]
+            for step in range(1, min(reach, len(own) - 1) + 1):
+                same = doc[step:] == doc[:-step]
+                x, y = own[:-step][same], own[step:][same]
+                pairs += [(s, y, x), (s, x, y)]
+            for of, at, other in pairs:
+                for place, sign in zip(places[of], signs, strict=True):
+                    out[s] += sign * np.bincount(at * DIM + place[other], minlength=BUCKETS * DIM)
+
+
+def random_indexing(docs: DataFrame) -> np.ndarray:
+    """The token vectors over all texts. A task's sums have a fixed size; they meet block by block, first in `_SALTS` shares."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    width = 2 * BUCKETS * DIM // _BLOCKS
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        poly, (places, signs), out = Poly(21), index_places(), np.zeros((2, BUCKETS * DIM), np.int64)
+        for batch in batches:
+            buf, offsets = utf8(batch.column("text"))
+            context_sums(out, poly, places, signs, buf, offsets)
+        if out.any():
+            parts = [x.tobytes() for x in out.reshape(_BLOCKS, width)]
+            salt = TaskContext.get().partitionId() % _SALTS
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(_BLOCKS, dtype=np.int32)), pa.array(np.full(_BLOCKS, salt, np.int32)), pa.array(parts, pa.binary())], ["block", "salt", "sums"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
+                x = np.frombuffer(x.as_buffer(), np.int64)
+                sums[k] = sums[k] + x if k in sums else x
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "sums"])
+
+    kind = "block int, sums binary"
+    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(scan, "block int, salt int, sums binary")
+    some = found.repartition("block", "salt").select("block", "sums").mapInArrow(add, kind)
+    rows = some.repartition(8, "block").mapInArrow(add, kind).collect()  # _BLOCKS rows in all
+    out = np.zeros((_BLOCKS, width), np.float64)
+    for r in rows:
+        out[r.block] += np.frombuffer(r.sums, np.int64)
+    out = out.reshape(2, BUCKETS, DIM)
+    index = index_vectors()
     norm = np.linalg.norm(out, axis=2, keepdims=True)
     own = index / np.maximum(np.linalg.norm(index, axis=2, keepdims=True), 1)
     return np.where(norm > 0, out / np.maximum(norm, 1e-9) + own, own).astype(np.float32)
@@ -131,14 +186,11 @@ def score(m: Model, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_logits(m, x) / m.temperature, -40, 40)))
 
 
-def fit(texts: list[bytes], y: np.ndarray, epochs: int = 60, seed: int = 3) -> Model:
-    poly, index, rng = Poly(21), index_vectors(), np.random.default_rng(seed)
+def fit(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, epochs: int = 60, seed: int = 3) -> Model:
+    rng = np.random.default_rng(seed)
     if not len(y) or y.min() == y.max():
         z = np.zeros(0)
-        return Model(index, z, z, z, z, z, 0.0, 1.0, float(y.mean()) if len(y) else 0.5)
-    vectors = random_indexing(texts, poly, index)
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    x = pooled(vectors, poly, buf, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
+        return Model(vectors, z, z, z, z, z, 0.0, 1.0, float(y.mean()) if len(y) else 0.5)
     m = Model(vectors, x.mean(0), x.std(0) + 1e-3, rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), 0.0, 1.0)
     aside = rng.random(len(y)) < 0.15
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
@@ -169,30 +221,44 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 60, seed: int = 3) -> M
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
-    """Fit on at most `most` labelled rows; only they come to the driver."""
+    """Word vectors over all documents; the network on at most `most` labelled rows, whose features come to the driver."""
+    small_batches(docs.sparkSession)
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    sample = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(sample), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.text)))
-    return fit([bytes(r.text) for r in rows], np.array([r.quality for r in rows], float))
+    sample = known.groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = written(texts.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")))
+    vectors = random_indexing(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        poly = Poly(21)
+        for batch in batches:
+            buf, offsets = utf8(batch.column("text"))
+            x = pooled(shared.value, poly, buf, offsets)
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["quality", "x"])
+
+    rows = texts.mapInArrow(run, "quality double, x array<double>").collect()
+    shared.destroy()
+    rows.sort(key=lambda r: (r.x, r.quality))  # the order of arrival says nothing
+    return fit(vectors, np.array([r.x for r in rows]), np.array([r.quality for r in rows], float))
 
 
-def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs, and held_out, score and predicted."""
+def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD, own: bool = True) -> DataFrame:
+    """docs with held_out, score and predicted; own=False keeps the rows wrapped (row_), for callers that need the input's columns as they are."""
     small_batches(docs.sparkSession)
-    source = docs.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("text_", F.coalesce("text", F.lit("")))
+    source = wrapped(docs, held_out=held_out(docs["doc_id"]), text_=F.coalesce(docs["text"], F.lit("")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         poly = Poly(21)
         for batch in batches:
             buf, offsets = utf8(batch.column("text_"))
             p = score(model, pooled(model.vectors, poly, buf, offsets))
-            keep = [c for c in batch.schema.names if c != "text_"]
-            cols = [batch.column(c) for c in keep] + [pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, "score", "predicted"])
+            cols = [batch.column("row_"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["row_", "held_out", "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text_")
-    return source.mapInArrow(run, f"{schema}, score double, predicted int")
+    kinds = StructType([f for f in source.schema if f.name != "text_"] + [StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    out = source.mapInArrow(run, kinds)
+    return unwrapped(out, "held_out", "score", "predicted") if own else out
 
 
 def op8_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but these white-space characters.
@@ -69,9 +69,9 @@ def dropped(*frames: DataFrame) -> None:
 # ---- rows with columns of any name -------------------------------------------------------------
 
 
-def wrapped(docs: DataFrame, **own: Column) -> DataFrame:
-    """The whole row as one struct row_, and an operator's own columns beside it: no name of the input can clash with them."""
-    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row_"), *[c.alias(n) for n, c in own.items()])
+def wrapped(docs: DataFrame, keep: list[str] | None = None, **own: Column) -> DataFrame:
+    """The row (or what is to be kept of it) as one struct row_, and an operator's own columns beside it: no name of the input can clash with them."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in (keep or docs.columns)]).alias("row_"), *[c.alias(n) for n, c in own.items()])
 
 
 def unwrapped(df: DataFrame, *own: str, put: dict[str, Column] | None = None) -> DataFrame:
@@ -86,6 +86,25 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def running(df: DataFrame, order: list[str], **sums: Column) -> DataFrame:
+    """df with each column's sum over all rows before in the (unique) order, without one task for all rows: ranges, sums inside, then offsets.
+
+    A row for each range (as many as shuffle partitions) comes to the driver.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = written(df.select("*", *[c.alias(k) for k, c in sums.items()]).repartitionByRange(n, *order).withColumn("range_", F.spark_partition_id()))
+    at, rows = dict.fromkeys(sums, 0), []
+    for r in sorted(cut.groupBy("range_").agg(*[F.sum(k).alias(k) for k in sums]).collect(), key=lambda r: r["range_"]):
+        rows.append((r["range_"], *at.values()))
+        at = {k: v + (r[k] or 0) for k, v in at.items()}
+    kinds = dict(cut.dtypes)
+    starts = spark.createDataFrame(rows, "range_ int" + "".join(f", {k}_ {'double' if kinds[k] == 'double' else 'long'}" for k in sums))
+    before = Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = cut.select("*", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_in") for k in sums])
+    return inside.join(F.broadcast(starts), "range_").select(*df.columns, *[(F.col(f"{k}_in") + F.col(f"{k}_")).alias(k) for k in sums])
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the Arrow batches that reach Python: documents may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

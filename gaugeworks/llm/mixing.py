@@ -11,12 +11,16 @@
    by node and source, so that reruns agree), down to exact quotas for each source and shard.
    Each shard takes its disjoint slice of each source's permuted blocks and shuffles them by hash.
 
-Prefix sums go in three short levels (nodes of a source, blocks of a node, documents of a block), so
-that a source with a third of all rows is never one task's window.
+Nothing gathers all sources or all shards: ranks, water level and slices are prefix sums over ranges, and a
+node of the tree holds at most `group` sources. More sources form groups of groups: a shard's share of a group
+is split among its members by the same tree, which is the same distribution. Prefix sums of documents go in
+three short levels (nodes of a source, blocks of a node, documents of a block), so that a source with a third of
+all rows is never one task's window.
 
 Defined results. Null text counts 0 words and is taken 0 times; a null source is a source of its own;
-no rows give no rows; repeated rows take part one by one (which of two identical rows is taken is not
-told apart). Columns other than doc_id, text and source pass through `mix_documents`.
+no rows give no rows; repeated rows take part one by one (which of two rows of equal id and text is taken is
+not told apart), and rows of one id with different texts are told apart by their text. Columns of any name pass
+through untouched, but for size, source_size, target, taken and copies, which give way to the operator's own.
 """
 
 from __future__ import annotations
@@ -26,13 +30,15 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, n_words, table, written
+from .common import broadcast_if_small, n_words, running, table, unwrapped, wrapped, written
 
-SEED, SHARDS, MOST, BLOCK_WORDS, WEIGHTS = 20240601, 16, 3, 32_768, (1, 2, 3)
+SEED, SHARDS, MOST, BLOCK_WORDS, WEIGHTS, GROUP = 20240601, 16, 3, 32_768, (1, 2, 3), 64
 SHARD_WORDS = 16_000_000
+_COPIES = "array<struct<shard:int,words:bigint,place:bigint>>"
 
 
 def _key(source: Column) -> Column:
+    """Sorts as the sources do, null last."""
     return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source))
 
 
@@ -42,158 +48,162 @@ def _uniform(*parts: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """skey, source, source_size, target: one row a source. The windows run over sources, not documents."""
-    sizes = sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    w = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights))) + 1)
-    s = sizes.withColumn("weight", w).withColumn("fills", most * F.col("source_size") / F.col("weight"))
-    every, before = Window.partitionBy(), Window.orderBy("fills", "skey").rowsBetween(Window.unboundedPreceding, -1)
-    rest = Window.orderBy("fills", "skey").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    s = s.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum(most * F.col("source_size")).over(before), F.lit(0))) / F.sum("weight").over(rest))
-    s = s.withColumn("level", F.max(F.when(F.col("level") <= F.col("fills"), F.col("level"))).over(every))
-    target = F.least(F.coalesce(F.col("level") * F.col("weight"), F.lit(math.inf)), (most * F.col("source_size")).cast("double"))
-    return s.select("skey", "source", "source_size", "n_docs", target.alias("target"))
-
-
-def _hypergeometric(k: Column, total: Column, draws: Column, u: Column, v: Column) -> Column:
-    """How many of `draws` out of `total` fall on `k` of them, from two uniforms.
-
-    Inversion over the 161 values around the mean where they hold the distribution (standard deviation
-    up to 10), from exact ratios of neighbours; beyond that a rounded normal. Always within the support.
+    """skey, ord, source_size, target: one row a source, numbered in the order of their names."""
+    sizes = running(sized.groupBy("skey").agg(F.sum("size").alias("source_size")), ["skey"], ord=F.lit(1))
+    s = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("ord"), F.lit(len(weights))) + 1).cast("int")))
+    s = s.withColumn("fills", most * F.col("source_size") / F.col("weight"))
+    s = written(running(s, ["fills", "skey"], filled=most * F.col("source_size"), lighter=F.col("weight")))
+    size, weight = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(1))).first()
+    level = (F.lit(size) - F.col("filled")) / (F.lit(weight) - F.col("lighter"))
+    top = s.agg(F.max(F.when(level <= F.col("fills"), level))).first()[0]  # none: every source is taken `most` times
+    target = F.least(F.lit(math.inf if top is None else float(top)) * F.col("weight"), (most * F.col("source_size")).cast("double"))
+    return s.select("skey", "ord", "source_size", target.alias("target"))
+
+
+def _hypergeometric(k: Column, total: Column, draws: Column, u: Column) -> Column:
+    """How many of `draws` out of `total` fall on `k` of them, from a uniform of 52 bits: exact inversion.
+
+    The outcomes are walked from the mode outwards, by exact ratios of neighbours: once to add up their weights, once
+    to find the outcome. The walk ends 40 values and ten standard deviations from the mode; what lies beyond has
+    less than 2**-53 of the probability (Bernstein), which no uniform of 52 bits can tell.
     """
     low, high = F.greatest(F.lit(0), draws - (total - k)), F.least(k, draws)
-    mean = draws * k / F.greatest(total, F.lit(1))
-    sd = F.sqrt(F.greatest(F.lit(0.0), mean * (1 - k / F.greatest(total, F.lit(1))) * (total - draws) / F.greatest(total - 1, F.lit(1))))
-    normal = F.round(mean + sd * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)).cast("long")
-    start = F.greatest(low, F.floor(mean) - 80)
-    stop = F.least(high, F.floor(mean) + 80)
-    empty = F.array(F.struct(start.cast("long").alias("x"), F.lit(0.0).alias("lw")))
-    logs = F.aggregate(
-        F.when(stop > start, F.sequence(start, stop - 1)).otherwise(F.array().cast("array<long>")),
-        empty,
-        lambda acc, x: F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    (x + 1).cast("long").alias("x"),
-                    (F.element_at(acc, -1).lw + F.log(((k - x) * (draws - x)) / ((x + 1) * (total - k - draws + x + 1)).cast("double"))).alias("lw"),
-                )
-            ),
-        ),
-    )
-    peak = lambda a: F.array_max(F.transform(a, lambda y: y.lw))
-    mass = lambda a: F.transform(a, lambda y: F.struct(y.x.alias("x"), F.exp(y.lw - peak(a)).alias("w")))
-    chosen = F.aggregate(
-        mass(logs),
-        F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("long").alias("x"), (u * F.aggregate(mass(logs), F.lit(0.0), lambda t, y: t + y.w)).alias("goal")),
-        lambda t, y: F.struct((t.sum + y.w).alias("sum"), F.when(t.x.isNull() & (t.sum + y.w >= t.goal), y.x).otherwise(t.x).alias("x"), t.goal.alias("goal")),
-        lambda t: t.x,
-    )
-    return F.greatest(low, F.least(high, F.coalesce(F.when(sd <= 10, chosen), normal))).cast("long")
+    mode = F.greatest(low, F.least(high, F.expr("CAST(0 AS BIGINT)") + F.floor((draws + 1) * (k + 1) / (total + 2)))).cast("long")
+    some = F.greatest(total, F.lit(1))
+    sd = F.sqrt(F.greatest(F.lit(0.0), draws * k / some * (1 - k / some) * (total - draws) / F.greatest(total - 1, F.lit(1))))
+    steps = F.least(F.ceil(40 + 10 * sd), F.greatest(high - mode, mode - low)).cast("int")
+    walk = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+
+    def up(x: Column, w: Column) -> Column:
+        return F.when(x < high, w * (k - x) * (draws - x) / ((x + 1) * (total - k - draws + x + 1)).cast("double")).otherwise(0.0)
+
+    def down(x: Column, w: Column) -> Column:
+        return F.when(x > low, w * x * (total - k - draws + x) / ((k - x + 1) * (draws - x + 1)).cast("double")).otherwise(0.0)
+
+    def moved(t: Column) -> list[Column]:
+        return [(t.xu + 1).alias("xu"), up(t.xu, t.wu).alias("wu"), (t.xd - 1).alias("xd"), down(t.xd, t.wd).alias("wd")]
+
+    def start(goal: Column) -> Column:
+        here = [mode.alias("xu"), F.lit(1.0).alias("wu"), mode.alias("xd"), F.lit(1.0).alias("wd")]
+        return F.struct(*here, goal.alias("sum"), F.when(goal <= 0, mode).alias("x"))
+
+    def added(t: Column, _: Column) -> Column:
+        return F.transform(F.array(F.struct(*moved(t))), lambda n: F.struct(n.xu.alias("xu"), n.wu.alias("wu"), n.xd.alias("xd"), n.wd.alias("wd"), (t.sum + n.wu + n.wd).alias("sum"), t.x.alias("x")))[0]
 
+    def found(t: Column, _: Column) -> Column:
+        def taken(n: Column) -> Column:
+            x = F.coalesce(t.x, F.when(t.sum - n.wu <= 0, n.xu).when(t.sum - n.wu - n.wd <= 0, n.xd))
+            return F.struct(n.xu.alias("xu"), n.wu.alias("wu"), n.xd.alias("xd"), n.wd.alias("wd"), (t.sum - n.wu - n.wd).alias("sum"), x.alias("x"))
 
-def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """quotas (skey, blocks) -> (skey, upto): upto[i] is the end of shard i's slice of the source's blocks.
+        return F.transform(F.array(F.struct(*moved(t))), taken)[0]
 
-    The tree's nodes are rows with an array over the sources: as many rows as shards, log2(shards) levels.
+    mass = F.aggregate(walk, start(F.lit(1.0)), added, lambda t: t.sum)
+    return F.aggregate(walk, start(u * mass - 1.0), found, lambda t: F.coalesce(t.x, mode))
+
+
+def splitting_tree(quotas: DataFrame, n: int, shards: int = SHARDS, seed: int = SEED, group: int = GROUP) -> DataFrame:
+    """quotas (skey, ord, blocks) of n sources -> (skey, shard, n): how many of its blocks a source gives to a shard, where any.
+
+    The tree's nodes are rows with an array over at most `group` sources, or groups of sources: log2(shards)
+    levels of rows for each level of groups. A node that holds no block has no row.
     """
     if shards & (shards - 1):
         raise ValueError("the number of shards is a power of two")
-    nodes = quotas.groupBy().agg(F.array_sort(F.collect_list(F.struct("skey", F.col("blocks").cast("long").alias("n")))).alias("q")).select(F.lit(1).cast("long").alias("node"), "q")
-    for _ in range(int(math.log2(shards))):
-        total = F.aggregate("q", F.lit(0).cast("long"), lambda t, s: t + s.n)
-        nodes = nodes.select("node", "q", total.alias("total"))
-        left = F.aggregate(
-            "q",
-            F.struct(F.col("total").alias("total"), F.expr("(total + 1) div 2").alias("draws"), F.array().cast("array<bigint>").alias("got")),
-            lambda t, s: F.transform(
-                F.array(_hypergeometric(s.n, t.total, t.draws, _uniform(F.lit(seed), "node", s.skey), _uniform(F.lit(seed + 1), "node", s.skey))),
-                lambda x: F.struct((t.total - s.n).alias("total"), (t.draws - x).alias("draws"), F.concat(t.got, F.array(x)).alias("got")),
-            )[0],
-            lambda t: t.got,
-        )
-        nodes = nodes.select("node", "q", left.alias("left"))
-        child = lambda f: F.zip_with("q", "left", lambda s, x: F.struct(s.skey.alias("skey"), f(s, x).alias("n")))
-        nodes = nodes.select(
-            F.inline(
-                F.array(
-                    F.struct((2 * F.col("node")).alias("node"), child(lambda s, x: x).alias("q")),
-                    F.struct((2 * F.col("node") + 1).alias("node"), child(lambda s, x: s.n - x).alias("q")),
-                )
+    depth, height, known = int(math.log2(shards)), 1, None
+    while group**height < n:
+        height += 1
+    for h in range(height - 1, -1, -1):
+        items = quotas.groupBy(F.expr(f"ord div {group**h}L").alias("id")).agg(F.sum("blocks").cast("long").alias("n")).where("n > 0")
+        nodes = items.groupBy(F.expr(f"id div {group}L").alias("parent")).agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("q")).select("parent", F.lit(1).cast("long").alias("node"), "q")
+        for d in range(depth):
+            total = F.aggregate("q", F.lit(0).cast("long"), lambda t, s: t + s.n)
+            if known is None:
+                nodes = nodes.select("parent", "node", "q", total.alias("total"), F.expr("0L").alias("draws")).withColumn("draws", F.expr("(total + 1) div 2"))
+            else:  # the parent's own tree says how many fall to the left
+                left = known.groupBy("parent", F.shiftright("leaf", depth - d - 1).alias("child")).agg(F.sum("n").alias("draws")).where("child % 2 = 0").select("parent", F.expr("child div 2").alias("node"), "draws")
+                nodes = nodes.join(left, ["parent", "node"], "left").select("parent", "node", "q", total.alias("total"), F.coalesce("draws", F.lit(0)).cast("long").alias("draws"))
+            left = F.aggregate(
+                "q",
+                F.struct("total", "draws", F.array().cast("array<bigint>").alias("got")),
+                lambda t, s: F.transform(
+                    F.array(_hypergeometric(s.n, t.total, t.draws, _uniform(F.lit(seed), F.lit(h), "node", s.id))),
+                    lambda x: F.struct((t.total - s.n).alias("total"), (t.draws - x).alias("draws"), F.concat(t.got, F.array(x)).alias("got")),
+                )[0],
+                lambda t: t.got,
+            )
+            nodes = nodes.select("parent", "node", "q", left.alias("left"))
+            child = lambda f: F.filter(F.zip_with("q", "left", lambda s, x: F.struct(s.id.alias("id"), f(s, x).alias("n"))), lambda s: s.n > 0)
+            both = F.array(
+                F.struct("parent", (2 * F.col("node")).alias("node"), child(lambda s, x: x).alias("q")),
+                F.struct("parent", (2 * F.col("node") + 1).alias("node"), child(lambda s, x: s.n - x).alias("q")),
             )
-        )
-    leaves = nodes.select("node", F.inline("q"))
-    ends = F.transform(F.array_sort(F.collect_list(F.struct("node", "n"))), lambda x: x.n)
-    cumulative = F.aggregate("n", F.array().cast("array<bigint>"), lambda t, n: F.concat(t, F.array(F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit(0).cast("long")) + n)))
-    return leaves.groupBy("skey").agg(ends.alias("n")).select("skey", cumulative.alias("upto"))
+            nodes = nodes.select(F.inline(both)).where(F.size("q") > 0)
+        known = written(nodes.select(F.col("node").alias("leaf"), F.inline("q")).select(F.col("id").alias("parent"), "leaf", "n"))
+    return known.join(broadcast_if_small(quotas.select(F.col("ord").alias("parent"), "skey")), "parent").select("skey", (F.col("leaf") - shards).cast("int").alias("shard"), "n")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target, taken and copies: array<struct<shard, words, place>>."""
-    sized = docs.withColumn("size", n_words(F.col("text"))).withColumn("skey", _key(F.col("source")))
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = SEED, group: int = GROUP, keep: list[str] | None = None, own: bool = True) -> DataFrame:
+    """docs (or the columns to keep) with size, source_size, target, taken and copies: array<struct<shard, words, place>>.
+
+    own=False keeps the rows wrapped (row_), for callers that need the input's columns as they are.
+    """
+    # words are counted once; th tells rows of one id apart by their text
+    sized = written(wrapped(docs, keep, size=n_words(docs["text"]), skey=_key(docs["source"]), th=F.xxhash64(docs["doc_id"], docs["text"])))
     targets = written(source_targets(sized, weights, most))
+    n, words = targets.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
     if shards is None:  # a power of two, so that a shard has at most about SHARD_WORDS words
-        words = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
         shards = max(SHARDS, 1 << math.ceil(math.log2(max(1, words / SHARD_WORDS))))
-    goal = F.round("target").cast("long")
-    passes = F.expr("goal div greatest(source_size, 1)")
-    plan = targets.withColumn("goal", goal).withColumn("passes", passes).withColumn("last", F.col("goal") - F.col("passes") * F.col("source_size"))
+    plan = targets.withColumn("goal", F.round("target").cast("long")).withColumn("passes", F.expr("goal div greatest(source_size, 1)"))
+    plan = plan.withColumn("last", F.col("goal") - F.col("passes") * F.col("source_size")).drop("goal")
     plan = plan.withColumn("n_blocks", F.greatest(F.lit(1), F.expr(f"(source_size + {block_words} - 1) div {block_words}")))
-    dealt = sized.join(broadcast_if_small(plan.drop("source")), "skey")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "skey", "doc_id"), F.col("n_blocks")))
-    blocks = dealt.groupBy("skey", "block").agg(F.sum("size").alias("words"), *(F.first(c).alias(c) for c in ("last", "passes", "n_blocks")))
-    order = F.xxhash64(F.lit(seed + 2), "skey", "block")
-    blocks = written(blocks.withColumn("rank", order).withColumn("range", F.shiftright("rank", 52)))
+    dealt = sized.join(broadcast_if_small(plan), "skey").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "skey", "th"), F.col("n_blocks")))
+    blocks = dealt.groupBy("skey", "block").agg(F.sum("size").alias("words"), *(F.first(c).alias(c) for c in ("ord", "last", "passes")))
+    blocks = written(blocks.withColumn("rank", F.xxhash64(F.lit(seed + 2), "skey", "block")).withColumn("range", F.shiftright("rank", 52)))
     nodes = blocks.groupBy("skey", "range").agg(F.sum("words").alias("rw"), F.count("*").alias("rn"))
     upto = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     nodes = nodes.select("skey", "range", F.coalesce(F.sum("rw").over(upto), F.lit(0)).alias("rw"), F.coalesce(F.sum("rn").over(upto), F.lit(0)).alias("rn"))
     inner = Window.partitionBy("skey", "range").orderBy("rank", "block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.join(nodes, ["skey", "range"]).select(
-        "skey",
-        "block",
-        "words",
-        "last",
-        "passes",
+        *("skey", "ord", "block", "words", "last", "passes"),
         (F.col("rw") + F.coalesce(F.sum("words").over(inner), F.lit(0))).alias("before"),
         (F.col("rn") + F.row_number().over(Window.partitionBy("skey", "range").orderBy("rank", "block")) - 1).alias("place"),
     )
-    blocks = blocks.withColumn("part", F.greatest(F.lit(0), F.least("words", F.col("last") - F.col("before"))))
-    blocks = written(blocks)
-    per = blocks.groupBy("skey").agg(F.count("*").alias("held"), F.first("passes").alias("passes"), F.count_if(F.col("part") > 0).alias("drawn"))
-    slices = splitting_tree(per.select("skey", (F.col("passes") * F.col("held") + F.col("drawn")).alias("blocks")), shards, seed)
-    blocks = blocks.join(broadcast_if_small(per.select("skey", "held").join(slices, "skey")), "skey")
-    slot = lambda c: (c * F.col("held") + F.col("place")).cast("long")
-    shard_of = lambda x: F.size(F.filter("upto", lambda e: e <= x))
-    blocks = blocks.select(
-        "skey",
-        "block",
-        "part",
-        F.transform(F.when(F.col("passes") > 0, F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).otherwise(F.array().cast("array<bigint>")), lambda c: shard_of(slot(c))).alias("full_in"),
-        shard_of(slot(F.col("passes"))).alias("part_in"),
-    )
+    # the blocks drawn last are the first places of the permutation, empty ones among them
+    blocks = written(blocks.withColumn("drawn", F.col("before") < F.col("last")).withColumn("part", F.greatest(F.lit(0), F.least("words", F.col("last") - F.col("before")))))
+    per = blocks.groupBy("skey", "ord").agg(F.count("*").alias("held"), F.first("passes").alias("passes"), F.count_if("drawn").alias("drawn"))
+    per = written(per)
+    slices = splitting_tree(per.select("skey", "ord", (F.col("passes") * F.col("held") + F.col("drawn")).alias("blocks")), n, shards, seed, group)
+    ahead = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("from", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    slots = slices.select("skey", "shard", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("slot"))
+    taken = F.col("passes") + F.when(F.col("drawn"), 1).otherwise(0)
+    uses = blocks.where(taken > 0).join(broadcast_if_small(per.select("skey", "held")), "skey").select("skey", "block", "held", "place", F.explode(F.sequence(F.lit(0).cast("long"), taken - 1)).alias("pass"))
+    uses = uses.withColumn("slot", F.col("pass") * F.col("held") + F.col("place")).join(slots, ["skey", "slot"])
+    uses = uses.groupBy("skey", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x.shard).alias("shards"))
+    blocks = blocks.select("skey", "block", "part").join(uses, ["skey", "block"], "left")
     # within a block, documents in hashed order; a block has about block_words words, or is one document
-    last = Window.partitionBy("skey", "block").orderBy("toss", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    toss = F.xxhash64(F.lit(seed + 3), "doc_id")
-    took = dealt.drop("last", "n_blocks", "n_docs", "goal").withColumn("toss", toss)
+    toss = F.xxhash64(F.lit(seed + 3), "th")
+    last = Window.partitionBy("skey", "block").orderBy("toss", "th").rowsBetween(Window.unboundedPreceding, -1)
+    took = dealt.select("row_", "skey", "block", "size", "th", "source_size", "target", "passes", toss.alias("toss"))
     took = took.withColumn("before", F.coalesce(F.sum("size").over(last), F.lit(0))).join(blocks, ["skey", "block"])
     took = took.withColumn("rest", F.greatest(F.lit(0), F.least("size", F.col("part") - F.col("before"))))
-    place = lambda shard, c: F.xxhash64(F.lit(seed + 4), shard, c, "doc_id")
-    full = F.when(F.col("size") > 0, F.transform("full_in", lambda s, c: F.struct(s.alias("shard"), F.col("size").alias("words"), place(s, c).alias("place")))).otherwise(F.array().cast("array<struct<shard:int,words:bigint,place:bigint>>"))
-    part = F.when(F.col("rest") > 0, F.array(F.struct(F.col("part_in").alias("shard"), F.col("rest").alias("words"), place(F.col("part_in"), F.lit(-1)).alias("place")))).otherwise(F.array().cast("array<struct<shard:int,words:bigint,place:bigint>>"))
-    took = took.withColumn("taken", (F.col("passes") * F.col("size") + F.col("rest")).cast("long")).withColumn("copies", F.concat(full, part))
-    return took.select(*docs.columns, "size", "source_size", "target", "taken", "copies")
+    words = F.transform(F.coalesce("shards", F.array().cast("array<int>")), lambda s, c: F.struct(s.alias("shard"), F.when(c < F.col("passes"), F.col("size")).otherwise(F.col("rest")).alias("words"), F.xxhash64(F.lit(seed + 4), s, c, "th").alias("place")))
+    copies = F.filter(words, lambda x: x.words > 0).cast(_COPIES)
+    took = took.select("row_", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("rest")).cast("long").alias("taken"), copies.alias("copies"))
+    return unwrapped(took, "size", "source_size", "target", "taken", "copies") if own else took
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, in shards, the last copy cut at a word if need be."""
-    led = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    out = mix_sources(docs, own=False, **options).select("row_", "size", F.explode("copies").alias("copy"))
+    led = F.regexp_extract_all("row_.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(led, F.lit(1), F.col("copy.words").cast("int")), "")
-    text = F.when(F.col("copy.words") == F.col("size"), F.col("text")).otherwise(cut)
-    out = mix_sources(docs, **options).withColumn("copy", F.explode("copies"))
-    out = out.withColumn("text", text).withColumn("shard", F.col("copy.shard")).withColumn("place", F.col("copy.place"))
-    return out.repartition("shard").sortWithinPartitions("shard", "place").select(*docs.columns)
+    out = out.withColumn("text_", F.when(F.col("copy.words") == F.col("size"), F.col("row_.text")).otherwise(cut))
+    out = out.withColumn("shard", F.col("copy.shard")).repartition("shard").sortWithinPartitions("shard", "copy.place")
+    return unwrapped(out, put={next(c for c in docs.columns if c.lower() == "text"): F.col("text_")})
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     shards = F.transform("copies", lambda c: c.shard)
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
+    return mix_sources(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))

@@ -307,8 +307,8 @@ def redrawn(entities: DataFrame, key: str = KEY) -> DataFrame | None:
     return reduce(DataFrame.union, out)
 
 
-def replace_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
-    """docs with text rewritten, n_entities and kinds."""
+def replace_pii(docs: DataFrame, key: str | None = None, own: bool = True) -> DataFrame:
+    """docs with text rewritten, and (if own) n_entities and kinds."""
     key = key or docs.sparkSession.conf.get(KEY_CONF, KEY)
     rows = written(find_entities(wrapped(docs, text=docs["text"])))
     some = rows.where("found is not null")
@@ -327,7 +327,7 @@ def replace_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
     text = F.when(F.col("found").isNull(), F.col("row_.text")).otherwise(F.array_join(F.zip_with("between", "made", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
     real = F.filter(F.coalesce("found", F.array().cast(_FOUND)), lambda e: e.kind.isNotNull())
     rows = rows.select("row_", text.alias("made_"), F.size(real).cast("long").alias("n_entities"), F.transform(real, lambda e: e.kind).alias("kinds"))
-    return unwrapped(rows, "n_entities", "kinds", put={next(c for c in docs.columns if c.lower() == "text"): F.col("made_")})
+    return unwrapped(rows, *(["n_entities", "kinds"] if own else []), put={next(c for c in docs.columns if c.lower() == "text"): F.col("made_")})
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

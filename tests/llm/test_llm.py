@@ -115,6 +115,61 @@ def test_mixing(docs, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mixing_targets(spark):
+    """Against water filling done the plain way: share by weight, stop at three times the size, share the excess again."""
+    sizes = {"b": 5, "a": 900, "Z": 40, "é": 2, None: 300, "d": 0, "c": 77}
+    rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(sizes.items())]
+    order = sorted(s for s in sizes if s is not None) + [None]
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    want, left, rest = {}, set(order), sum(sizes.values())
+    while True:
+        level = rest / sum(weight[s] for s in left)
+        over = {s for s in left if level * weight[s] > 3 * sizes[s]}
+        if not over:
+            want |= {s: level * weight[s] for s in left}
+            break
+        want |= {s: 3 * sizes[s] for s in over}
+        rest -= sum(3 * sizes[s] for s in over)
+        left -= over
+    out = {r.source: r for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=10).collect()}
+    assert all(abs(out[s].target - want[s]) < 1e-6 and out[s].source_size == sizes[s] and abs(out[s].taken - want[s]) <= 1 for s in sizes)
+
+
+def test_mixing_repeated_ids(spark):
+    """The order in which rows arrive changes nothing, and rows of one id are told apart by their texts."""
+    rows = [(i % 7, " ".join([f"w{i}"] * (i % 11 + 1)), f"s{i % 3}") for i in range(120)]
+    one, two = ([(r.doc_id, r.text, r.taken, str(r.copies)) for r in mixing.mix_sources(spark.createDataFrame(x, "doc_id long, text string, source string").repartition(n), block_words=20).collect()] for x, n in ((rows, 1), (rows[::-1], 5)))
+    assert sorted(one) == sorted(two)
+
+
+def test_hypergeometric(spark):
+    """Over an even grid of uniforms, each outcome comes up as often as its exact probability says."""
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    n, cases = 5000, [(3, 10, 4), (50, 60, 55), (400, 1000, 500), (1, 2, 1), (0, 5, 3), (5, 5, 2), (3000, 9000, 4500), (7, 7, 7), (2, 5000, 2500)]
+    grid = spark.range(n).select(((F.col("id") + 0.5) / n).alias("u"))
+    for k, total, draws in cases:
+        args = [F.lit(x).cast("long") for x in (k, total, draws)]
+        got = {r.x: r["count"] for r in grid.select(mixing._hypergeometric(*args, F.col("u")).alias("x")).groupBy("x").count().collect()}
+        for x in range(max(0, draws - (total - k)), min(k, draws) + 1):
+            assert abs(got.pop(x, 0) - n * comb(k, x) * comb(total - k, draws - x) / comb(total, draws)) <= 1.01
+        assert not got
+
+
+@pytest.mark.parametrize("group", [64, 2])
+def test_splitting_tree(spark, group):
+    """Every source's blocks are dealt out whole, and shards differ by one block at most, in groups of groups as well."""
+    quotas = {0: 17, 1: 1, 2: 0, 3: 250, 4: 40, 5: 3, 6: 8}
+    df = spark.createDataFrame([(f"+{o}", o, n) for o, n in quotas.items()], "skey string, ord long, blocks long")
+    rows = mixing.splitting_tree(df, 7, 8, group=group).collect()
+    for o, n in quotas.items():
+        assert sum(r.n for r in rows if r.skey == f"+{o}") == n
+    by = [sum(r.n for r in rows if r.shard == k) for k in range(8)]
+    assert max(by) - min(by) <= 1 and sorted(map(tuple, rows)) == sorted(map(tuple, mixing.splitting_tree(df, 7, 8, group=group).collect()))
+
+
 def test_quality_rules(docs, none):
     for r, (_, t, *_) in zip(sorted(quality_rules.quality_rules(docs).collect(), key=lambda r: r.doc_id), sorted(corpus(), key=lambda x: x[0]), strict=True):
         w = WORD.findall(t or "")
