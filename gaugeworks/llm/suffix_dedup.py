@@ -5,15 +5,21 @@ leftmost least 32-byte gram by hash, so equal windows have the same anchor at th
 row with one anchor form a span. Suffixes that can be equal therefore share an anchor, and:
 
 1. Spans are counted by anchor (partial aggregation; no text moves). Spans of an anchor that occurs once
-   hold no repeat; if all spans of an anchor are equal, all their windows repeat.
+   hold no repeat; spans that are equal repeat in all their windows. Equal means equal 128-bit BLAKE2 digests of
+   their bytes: no collision of these is known or to be expected, so this verifies whole spans without moving them.
 2. Where spans of an anchor differ (at the edges of repeats), each distinct span that occurs once brings
    its text. In a bucket, the suffixes at all window starts are mergesorted. Two suffixes are compared by
    polynomial prefix hashes and binary search for their common extension, so a comparison costs
-   log(length) probes; neighbours with a full common extension are verified byte by byte.
-3. Buckets above `hot` spans (a passage in countless contexts) are dealt out by the windows' own 128-bit
-   hashes instead, and counted with partial aggregation.
+   log(length) probes. Every neighbour is verified: a full common extension byte by byte, the others' order by
+   the bytes where they part and a second hash of what they share. A bucket where any of this fails (a
+   collision) is done again by its bytes alone.
+3. Buckets above `hot` spans (a passage in countless contexts) would make one task's work, so their windows are
+   dealt out by their own 128-bit BLAKE2 digests instead, and counted with partial aggregation. This changes
+   only where the work is done.
 
-Nothing is capped: a hot passage, or copies that make up a third of all rows, only raise counts.
+Nothing is capped: a hot passage, or copies that make up a third of all rows, only raise counts, and the rows of
+a hot anchor or span meet broadcast counts instead of one task. Texts are scanned in segments, so that their
+length has no bound.
 
 Defined results. Null text is empty text: no bytes, no spans, the digest of the empty string. Texts shorter
 than `length` are kept whole. Repeated rows repeat each other and so lose what they share, each in its own
@@ -22,7 +28,9 @@ row. An empty table gives no rows. Matches never cross rows. Columns other than
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,10 +38,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Poly, broadcast_if_small, mixed, pieces, small_batches, table, utf8, written
+from .common import Poly, broadcast_if_small, dropped, join_hot, mixed, pieces, small_batches, table, utf8, written
 
 LENGTH, GRAM, HOT, BATCH = 200, 32, 4096, 4000
-_BYTES, _PLACE = 1 << 20, np.uint64(28)
+_BYTES, _SEGMENT, _PLACE = 1 << 20, 1 << 26, np.uint64(28)  # a segment's places fit in _PLACE bits
+
+
+def segments(offsets: np.ndarray, length: int, most: int = _SEGMENT) -> list[tuple[int, int, np.ndarray]]:
+    """First text, its start, and the offsets of what is scanned at once: a few texts, or a part of a long one. The parts share length - 1 bytes, so that each window is in one."""
+    out = []
+    for a, b in pieces(offsets, _BYTES):
+        n = int(offsets[b] - offsets[a])
+        if b - a > 1 or n <= most:
+            out.append((a, 0, offsets[a : b + 1]))
+        else:
+            out += [(a, k, offsets[a] + np.array([k, min(k + most, n)])) for k in range(0, max(1, n - length + 1), most - length + 1)]
+    return out
+
+
+def digests(buf: np.ndarray, at: np.ndarray, end: np.ndarray, also: np.ndarray | None = None) -> np.ndarray:
+    """128-bit BLAKE2 digests, as rows of two longs, of the bytes of each range (and a number)."""
+    raw, blake = buf.tobytes(), functools.partial(hashlib.blake2b, digest_size=16)
+    tail = (x.to_bytes(8, "little") for x in also.tolist()) if also is not None else itertools.repeat(b"")
+    return np.frombuffer(b"".join([blake(raw[a:b] + t).digest() for a, b, t in zip(at.tolist(), end.tolist(), tail, strict=False)]), np.int64).reshape(-1, 2)
 
 
 def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
@@ -49,10 +76,11 @@ def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(poly: Poly, buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Spans of the texts: document, start in it, windows, anchor's place in the span, anchor hash, span hash."""
+    """Spans of the texts: document, start in it, windows, anchor hash, the span's digest (with the anchor's place in it)."""
     gram = min(GRAM, length)
+    none = *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
     if len(buf) < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
+        return none
     prefix = poly.prefix(buf)
     g = mixed(poly.windows(prefix, gram))
     ranked = (g >> _PLACE << _PLACE) | np.arange(len(g), dtype=np.uint64)
@@ -62,15 +90,13 @@ def anchors(poly: Poly, buf: np.ndarray, offsets: np.ndarray, length: int = LENG
     inside = start + length <= offsets[doc + 1]
     start, at, doc = start[inside], at[inside], doc[inside]
     if not len(start):
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
+        return none
     new = np.ones(len(start), bool)
     new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(start)))
     a, p, d = start[first], at[first], doc[first]
-    own = poly.hashes(prefix, a, a + count + length - 1)
-    sh = mixed(own + (count.astype(np.uint64) << np.uint64(20)) + (p - a).astype(np.uint64))
-    return d, a - offsets[d], count, p - a, g[p], sh
+    return d, a - offsets[d], count, g[p], digests(buf, a, a + count + length - 1, p - a)
 
 
 def sort_suffixes(poly: Poly, buf: np.ndarray, at: np.ndarray, bucket: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -128,22 +154,36 @@ def sort_suffixes(poly: Poly, buf: np.ndarray, at: np.ndarray, bucket: np.ndarra
     return order, common
 
 
+def _misled(buf: np.ndarray, at: np.ndarray, bucket: np.ndarray, order: np.ndarray, common: np.ndarray, length: int) -> bool:
+    """Whether the order or an extension of the sorted suffixes is not what their bytes say."""
+    x, y, c = at[order[:-1]], at[order[1:]], common[:-1]
+    same = bucket[order[:-1]] == bucket[order[1:]]
+    x, y, c = x[same], y[same], c[same]
+    part = c < length
+    # those with less in common than what the first pass sorted by have 0 here: their leads differ, and were compared as bytes
+    x0, y0, c0 = x[part & (c > 0)], y[part & (c > 0)], c[part & (c > 0)]
+    if (buf[x0 + c0] >= buf[y0 + c0]).any():
+        return True
+    other = Poly(53)
+    prefix = other.prefix(buf)
+    if (other.hashes(prefix, x0, x0 + c0) != other.hashes(prefix, y0, y0 + c0)).any():
+        return True
+    x, y, reach = x[~part], y[~part], np.arange(length)
+    return any((buf[x[k : k + 20_000, None] + reach] != buf[y[k : k + 20_000, None] + reach]).any() for k in range(0, len(x), 20_000))
+
+
 def repeated(poly: Poly, buf: np.ndarray, at: np.ndarray, bucket: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Which suffixes share their first `length` bytes with another one of their bucket."""
     order, common = sort_suffixes(poly, buf, at, bucket, length)
-    pair = np.flatnonzero(common >= length)
-    x, y = at[order[pair]], at[order[pair + 1]]
-    reach = np.arange(length)
-    for k in range(0, len(x), 20_000):
-        if (buf[x[k : k + 20_000, None] + reach] != buf[y[k : k + 20_000, None] + reach]).any():  # a hash collision
-            seen: dict[tuple, list[int]] = {}
-            for i, (s, b) in enumerate(zip(at.tolist(), bucket.tolist(), strict=True)):
-                seen.setdefault((b, buf[s : s + length].tobytes()), []).append(i)
-            out = np.zeros(len(at), bool)
-            for same in seen.values():
-                out[same] = len(same) > 1
-            return out
     out = np.zeros(len(at), bool)
+    if _misled(buf, at, bucket, order, common, length):  # a hash collision: by the bytes alone
+        seen: dict[tuple, list[int]] = {}
+        for i, (s, b) in enumerate(zip(at.tolist(), bucket.tolist(), strict=True)):
+            seen.setdefault((b, buf[s : s + length].tobytes()), []).append(i)
+        for same in seen.values():
+            out[same] = len(same) > 1
+        return out
+    pair = np.flatnonzero(common >= length)
     out[order[pair]] = out[order[pair + 1]] = True
     return out
 
@@ -152,37 +192,42 @@ def _spans(n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
+_RID = ["rid", "rid2"]  # two hashes of a row: 128 bits
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """rid (of docs: rid, text) and the byte ranges to remove: rid, spans array<struct<s, e>>, which may overlap."""
+    """rid, rid2 (of docs: rid, rid2, text) and the byte ranges to remove: spans array<struct<s, e>>, which may overlap."""
     spark = docs.sparkSession
     small_batches(spark)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         poly = Poly(41)
         for batch in batches:
-            rid = batch.column("rid").to_numpy()
+            rid, rid2 = (batch.column(c).to_numpy() for c in _RID)
             buf, offsets = utf8(batch.column("text"))
-            for a, b in pieces(offsets, _BYTES):
-                lo = offsets[a]
-                d, s, n, p, mh, sh = anchors(poly, buf[lo : offsets[b]], offsets[a : b + 1] - lo, length)
+            for a, start, offs in segments(offsets, length):
+                d, s, n, mh, sh = anchors(poly, buf[offs[0] : offs[-1]], offs - offs[0], length)
                 if len(d):
-                    cols = [mh.view(np.int64), sh.view(np.int64), rid[a:b][d], s.astype(np.int32), n.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["mh", "sh", "rid", "s", "n"])
-
-    found = docs.where(F.octet_length("text") >= length).mapInArrow(scan, "mh long, sh long, rid long, s int, n int")
-    several = found.groupBy("mh").agg(F.count("*").alias("c"), F.min("sh").alias("lo"), F.max("sh").alias("hi")).where("c > 1")
-    rows = written(found.join(several.select("mh", (F.col("lo") == F.col("hi")).alias("pure")), "mh"))
+                    cols = [mh.view(np.int64), sh[:, 0], sh[:, 1], rid[a + d], rid2[a + d], (s + start).astype(np.int32), n.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["mh", "sh", "sh2", *_RID, "s", "n"])
+
+    found = written(docs.where(F.octet_length("text") >= length).mapInArrow(scan, "mh long, sh long, sh2 long, rid long, rid2 long, s int, n int"))
+    span = F.struct("sh", "sh2")
+    several = found.groupBy("mh").agg(F.count("*").alias("c"), F.min(span).alias("lo"), F.max(span).alias("hi")).where("c > 1")
+    rows = written(join_hot(found, several.select("mh", (F.col("lo") == F.col("hi")).alias("pure")), "mh"))
+    dropped(found)
     ends = (F.col("s") + F.col("n") + (length - 1)).alias("e")
-    plain = rows.where("pure").select("rid", "s", ends)
-    unlike = rows.where("not pure")
-    distinct = written(unlike.groupBy("mh", "sh").agg(F.count("*").alias("c"), F.min(F.struct("rid", "s", "n")).alias("rep")))
-    again = unlike.join(distinct.where("c > 1").select("mh", "sh"), ["mh", "sh"]).select("rid", "s", ends)
+    plain = rows.where("pure").select(*_RID, "s", ends)
+    unlike = rows.where("not pure").drop("pure")
+    same = ["mh", "sh", "sh2"]
+    distinct = written(unlike.groupBy(*same).agg(F.count("*").alias("c"), F.min(F.struct(*_RID, "s", "n")).alias("rep")))
+    again = join_hot(unlike, distinct.where("c > 1").select(*same), same).select(*_RID, "s", ends)
     buckets = distinct.groupBy("mh").agg(F.count("*").alias("members"), F.min("c").alias("least")).where("least = 1").select("mh", "members")
-    reps = written(distinct.join(buckets, "mh").select("mh", "members", (F.col("c") == 1).alias("once"), "rep.*"))
-    needed = broadcast_if_small(reps.select("rid").distinct())
-    texts = docs.join(needed, "rid", "left_semi")
-    span = F.substring(F.col("text").cast("binary"), F.col("s") + 1, F.col("n") + (length - 1))
-    with_text = written(texts.join(reps, "rid").select("mh", "members", "once", "rid", "s", "n", span.alias("text")).distinct())
+    reps = written(join_hot(distinct, buckets, "mh").select("mh", "members", (F.col("c") == 1).alias("once"), "rep.*"))
+    needed = broadcast_if_small(reps.select(*_RID).distinct())
+    texts = docs.join(needed, _RID, "left_semi")
+    part = F.substring(F.col("text").cast("binary"), F.col("s") + 1, F.col("n") + (length - 1))
+    with_text = written(texts.join(reps, _RID).select("mh", "members", "once", *_RID, "s", "n", part.alias("text")).distinct())
 
     def suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         poly, held, size = Poly(43), [], 0
@@ -190,7 +235,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
         def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
             once = t["once"].to_numpy(zero_copy_only=False)
             _, bucket = np.unique(t["mh"].to_numpy(), return_inverse=True)
-            n, s, rid = (t[c].to_numpy() for c in ("n", "s", "rid"))
+            n, s, rid, rid2 = (t[c].to_numpy() for c in ("n", "s", *_RID))
             buf, offsets = utf8(t["text"])
             of, within = np.repeat(np.arange(len(n)), n), _spans(n)
             hit = repeated(poly, buf, offsets[of] + within, bucket[of], length) & once[of]
@@ -201,7 +246,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
                 first = np.flatnonzero(new)
                 last = np.append(first[1:], len(of)) - 1
                 at, end = s[of[first]] + within[first], s[of[first]] + within[last] + length
-                yield pa.RecordBatch.from_arrays([pa.array(rid[of[first]]), pa.array(at.astype(np.int32)), pa.array(end.astype(np.int32))], ["rid", "s", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(rid[of[first]]), pa.array(rid2[of[first]]), pa.array(at.astype(np.int32)), pa.array(end.astype(np.int32))], [*_RID, "s", "e"])
 
         for batch in batches:  # in the order of mh: the last bucket may go on
             held.append(batch)
@@ -216,39 +261,39 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
         if size:
             yield from done(pa.Table.from_batches(held))
 
-    calm = with_text.where(F.col("members") <= hot).repartition("mh").sortWithinPartitions("mh", "rid", "s").drop("members")
-    parts = [plain, again, calm.mapInArrow(suffixes, "rid long, s int, e int")]
+    calm = with_text.where(F.col("members") <= hot).repartition("mh").sortWithinPartitions("mh", *_RID, "s").drop("members")
+    parts = [plain, again, calm.mapInArrow(suffixes, "rid long, rid2 long, s int, e int")]
 
     if not (crowd := with_text.where(F.col("members") > hot)).isEmpty():
 
         def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            one, two = Poly(45), Poly(47)
             for batch in batches:
-                n, s, rid = (batch.column(c).to_numpy() for c in ("n", "s", "rid"))
+                n, s, rid, rid2 = (batch.column(c).to_numpy() for c in ("n", "s", *_RID))
                 once = batch.column("once").to_numpy(zero_copy_only=False)
                 buf, offsets = utf8(batch.column("text"))
                 of = np.repeat(np.arange(len(n)), n)
                 at = offsets[of] + _spans(n)
-                h1, h2 = (mixed(p.hashes(p.prefix(buf), at, at + length)).view(np.int64) for p in (one, two))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, rid[of], (s[of] + _spans(n)).astype(np.int32), once[of])], ["h1", "h2", "rid", "s", "once"])
+                h = digests(buf, at, at + length)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[:, 0], h[:, 1], rid[of], rid2[of], (s[of] + _spans(n)).astype(np.int32), once[of])], ["h1", "h2", *_RID, "s", "once"])
 
-        every = crowd.mapInArrow(windows, "h1 long, h2 long, rid long, s int, once boolean")
+        every = crowd.mapInArrow(windows, "h1 long, h2 long, rid long, rid2 long, s int, once boolean")
         twice = every.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-        parts.append(every.where("once").join(twice, ["h1", "h2"]).select("rid", "s", (F.col("s") + length).alias("e")))
+        parts.append(every.where("once").join(twice, ["h1", "h2"]).select(*_RID, "s", (F.col("s") + length).alias("e")))
 
     union = parts[0]
     for p in parts[1:]:
         union = union.union(p)
-    return union.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return union.groupBy(*_RID).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes)."""
     text = F.coalesce("text", F.lit(""))
     # equal rows share an id here, and so what is removed from them
-    source = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).alias("rid"), text.alias("text"))
-    spans = repeated_spans(source.select("rid", "text"), length, hot)
-    joined = source.join(spans, "rid", "left").select("doc_id", "text", "spans")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    source = docs.select("doc_id", F.xxhash64(name, text).alias("rid"), F.xxhash64(F.lit(17), text, name).alias("rid2"), text.alias("text"))
+    spans = repeated_spans(source.select(*_RID, "text"), length, hot)
+    joined = source.join(spans, _RID, "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

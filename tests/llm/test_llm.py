@@ -73,6 +73,46 @@ def test_suffix_sort():
     assert common.max() < 60
 
 
+class Weak:
+    """Prefix hashes that collide for most texts."""
+
+    def __init__(self, bits):
+        from gaugeworks.llm.common import Poly
+
+        self.poly, self.mask = Poly(3), np.uint64((1 << bits) - 1)
+
+    def prefix(self, buf):
+        return self.poly.prefix(buf)
+
+    def hashes(self, *args):
+        return self.poly.hashes(*args) & self.mask
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2, 4])
+def test_suffix_sort_collisions(bits):
+    """Forced collisions of the prefix hashes change no result."""
+    r = random.Random(bits)
+    for _ in range(20):
+        buf = np.frombuffer(bytes(r.choices(b"ab", k=300)) + b"abcdefghijklm" * 12, np.uint8)
+        at = np.arange(len(buf) - 40)
+        bucket = np.array([r.randrange(3) for _ in at])
+        keys = [(b, buf[a : a + 14].tobytes()) for a, b in zip(at, bucket, strict=True)]
+        assert (suffix_dedup.repeated(Weak(bits), buf, at, bucket, 14) == np.array([keys.count(k) > 1 for k in keys])).all()
+
+
+def test_suffix_segments():
+    """The parts of a long text hold each of its windows once."""
+    offsets = np.array([0, 3, 3_000_000, 3_000_040, 3_000_041])
+    windows = []
+    for a, start, offs in suffix_dedup.segments(offsets, 10, 700_000):
+        for i in range(len(offs) - 1):
+            n = int(offs[i + 1] - offs[i])
+            assert offs[i] == offsets[a + i] + start
+            windows += [np.arange(offs[i], offs[i] + n - 9)] if n >= 10 else []
+    windows = np.concatenate(windows)
+    assert len(np.unique(windows)) == len(windows) == sum(max(0, n - 9) for n in np.diff(offsets))
+
+
 def test_url_rules(spark):
     rows = [(1, "HTTP://A.Example.com/en/x?q=1#z"), (2, "https://www.example.com/en/1"), (3, "https://m.b.net/es/2"), (4, None), (5, "nothing"), (6, "http://x.com"), (7, "http://com/"), (7, "http://com/"), (8, "http://q.org/es/9")]
     out = {r.page_id: r for r in url_rules.filter_urls(spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, verdict string")).collect()}
