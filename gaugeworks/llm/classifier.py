@@ -22,6 +22,7 @@ predicted, which give way to the operator's own.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -149,7 +150,7 @@ def random_indexing(docs: DataFrame) -> np.ndarray:
             buf, offsets = utf8(batch.column("text"))
             context_sums(out, poly, places, signs, buf, offsets)
         if out.any():
-            parts = [x.tobytes() for x in out.reshape(_BLOCKS, width)]
+            parts = [zlib.compress(x.tobytes(), 1) for x in out.reshape(_BLOCKS, width)]  # mostly zeros in a short task
             salt = TaskContext.get().partitionId() % _SALTS
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(_BLOCKS, dtype=np.int32)), pa.array(np.full(_BLOCKS, salt, np.int32)), pa.array(parts, pa.binary())], ["block", "salt", "sums"])
 
@@ -157,10 +158,10 @@ def random_indexing(docs: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
-                x = np.frombuffer(x.as_buffer(), np.int64)
+                x = np.frombuffer(zlib.decompress(x.as_buffer()), np.int64)
                 sums[k] = sums[k] + x if k in sums else x
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "sums"])
 
     kind = "block int, sums binary"
     found = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(scan, "block int, salt int, sums binary")
@@ -168,7 +169,7 @@ def random_indexing(docs: DataFrame) -> np.ndarray:
     rows = some.repartition(8, "block").mapInArrow(add, kind).collect()  # _BLOCKS rows in all
     out = np.zeros((_BLOCKS, width), np.float64)
     for r in rows:
-        out[r.block] += np.frombuffer(r.sums, np.int64)
+        out[r.block] += np.frombuffer(zlib.decompress(r.sums), np.int64)
     out = out.reshape(2, BUCKETS, DIM)
     index = index_vectors()
     norm = np.linalg.norm(out, axis=2, keepdims=True)

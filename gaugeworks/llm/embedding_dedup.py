@@ -14,9 +14,10 @@ Cost. In high dimension unrelated vectors are nearly orthogonal and no metric bo
 apart; the traversal then compares tight nodes (near-copies of one vector), so the work falls with the
 square of the copies per node but still grows as the square of the number of distinct directions.
 
-Defined results. Null, empty, zero and non-finite vectors, and those of another length, link with nothing
-(n_links 0, a component of their own). Repeated rows with different ids link with each other; a vec_id
-that occurs twice gets one row per occurrence. No rows give no rows. Other columns are ignored.
+Defined results. Null, empty, zero and non-finite vectors link with nothing (n_links 0, a component of their
+own). Vectors of different lengths have no cosine and do not link; those of each length are compared with one
+another. Repeated rows with different ids link with each other; a vec_id that occurs twice gets one row per
+occurrence, and a null one is kept. No rows give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from .graph import components
 
 COSINE, BLOCK, CENTRES, LEAF = 0.9, 8192, 128, 32
 _NUMBERS, _SMALL = 1 << 22, 32 << 20  # of a block; bytes of all trees up to which they are broadcast
+_SHARE = 500  # a vector of more than one in so many rows is a hot one
 _SLACK = 1e-6  # the bounds are wider than any rounding; the last comparison is exact
 
 
@@ -231,26 +233,38 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOC
     """vec_id, n_links, component_id, kept."""
     spark = embeddings.sparkSession
     e = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
-    width = e.where("size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    fit = F.lit(False) if width is None else F.coalesce((F.size("v") == width[0]) & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False))
+    fit = F.coalesce(~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False))
     e = e.withColumn("v", F.when(fit, F.transform("v", lambda c: c + 0.0)))
-    points = written(e.where("v is not null and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("p"), F.count("*").alias("m")))
-    block = max(2, min(block, _NUMBERS // max(1, width[0] if width else 1)))
-    sample = points.orderBy(F.xxhash64("p"), "p").limit(min(centres, -(-points.count() // block))).collect()
-    if not sample:
+    points = e.where("v is not null and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("p"), F.count("*").alias("m"))
+    points = written(points.withColumn("width", F.size("v").cast("long")))
+    # centres for each length that fills more than one block: a vector for each block in all
+    plan = {r.width: (max(2, min(block, _NUMBERS // r.width)), r["count"]) for r in points.groupBy("width").count().collect()}
+    coarse = {}
+    for w, (most, n) in plan.items():
+        if n > most:
+            coarse[w] = units(np.array([r.v for r in points.where(F.col("width") == w).orderBy(F.xxhash64("p"), "p").limit(min(centres, -(-n // most))).collect()]))
+    if not plan:
         return embeddings.select(F.col("vec_id").cast("long"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    coarse = units(np.array([r.v for r in sample]))
 
     def nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u = units(np.array(b.column("v").flatten()).reshape(len(b), -1)) if len(b) else np.zeros((0, coarse.shape[1]))
-            cell = np.argmax(u @ coarse.T, axis=1) if len(b) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("p"), b.column("m"), b.column("v"), pa.array(cell, pa.int64())], ["p", "m", "v", "cell"])
-
-    points_in = written(points.select("p", "m", "v").mapInArrow(nearest, "p long, m long, v array<double>, cell long"))
-    sizes = {r.cell: r["count"] for r in points_in.groupBy("cell").count().collect()}  # at most `centres` rows
-    cut = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, -(-n // block))])
-    blocked = points_in.withColumn("part", F.pmod(F.xxhash64("p"), F.element_at(cut, F.col("cell"))))
+            width, cell, vectors = b.column("width").to_numpy(), np.zeros(len(b), np.int64), b.column("v")
+            for w in np.unique(width).tolist():
+                if w in coarse:
+                    at = np.flatnonzero(width == w)
+                    u = units(np.array(vectors.take(pa.array(at)).flatten()).reshape(len(at), -1))
+                    cell[at] = np.argmax(u @ coarse[w].T, axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("p", "m", "v", "width")] + [pa.array(cell)], ["p", "m", "v", "width", "cell"])
+
+    points_in = written(points.select("p", "m", "v", "width").mapInArrow(nearest, "p long, m long, v array<double>, width long, cell long"))
+    sizes = points_in.groupBy("width", "cell").count().collect()  # at most `centres` rows a length
+    rows, base = [], 0
+    for r in sorted(sizes):
+        parts = -(-r["count"] // plan[r.width][0])
+        rows.append((r.width, r.cell, base, parts))
+        base += parts
+    cut = spark.createDataFrame(rows, "width long, cell long, base long, parts long")
+    blocked = points_in.join(F.broadcast(cut), ["width", "cell"]).withColumn("block", F.col("base") + F.pmod(F.xxhash64("p"), "parts"))
 
     def plant(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("p")
@@ -258,23 +272,26 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOC
         u = units(raw)
         mid = u.mean(0)
         radius = float(np.sqrt(((u - mid) ** 2).sum(1)).max())
-        return pd.DataFrame({"block": [int(key[0]) * (1 << 32) + int(key[1])], "mid": [mid.tolist()], "radius": [radius], "tree": [_pack(build(u), raw, df["p"].to_numpy(), df["m"].to_numpy())]})
+        return pd.DataFrame({"width": [int(key[0])], "block": [int(key[1])], "mid": [mid.tolist()], "radius": [radius], "tree": [_pack(build(u), raw, df["p"].to_numpy(), df["m"].to_numpy())]})
 
-    trees = written(blocked.groupBy("cell", "part").applyInPandas(plant, "block long, mid array<double>, radius double, tree binary"))
+    trees = written(blocked.select("width", "block", "p", "m", "v").groupBy("width", "block").applyInPandas(plant, "width long, block long, mid array<double>, radius double, tree binary"))
     # the top of the traversal: which blocks can hold a pair; a row per block, not per point
-    tops = trees.select("block", "mid", "radius").orderBy("block").collect()
-    ids, mids, radii = np.array([t.block for t in tops]), np.array([t.mid for t in tops]), np.array([t.radius for t in tops])
+    by_width: dict[int, list] = {}
+    for t in trees.select("width", "block", "mid", "radius").orderBy("block").collect():
+        by_width.setdefault(t.width, []).append(t)
+    tops = {w: (np.array([t.block for t in ts]), np.array([t.mid for t in ts]), np.array([t.radius for t in ts])) for w, ts in by_width.items()}
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + _SLACK
 
     def partners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for one in b.column("block").to_pylist():
+            for w, one in zip(b.column("width").to_pylist(), b.column("block").to_pylist(), strict=True):
+                ids, mids, radii = tops[w]
                 k = int(np.searchsorted(ids, one))
                 d = np.sqrt(((mids - mids[k]) ** 2).sum(1))
                 mine = ids[(d <= radii + radii[k] + reach) & (np.arange(len(ids)) >= k)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), one)), pa.array(mine)], ["a", "b"])
 
-    meets = written(trees.select("block").mapInArrow(partners, "a long, b long"))
+    meets = written(trees.select("width", "block").mapInArrow(partners, "a long, b long"))
     left = trees.select(F.col("block").alias("a"), F.col("tree").alias("ta"))
     right = trees.select(F.col("block").alias("b"), F.col("tree").alias("tb"))
     shares = max(spark.sparkContext.defaultParallelism, min(meets.count(), 20_000))
@@ -309,10 +326,17 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOC
     comp = components(found.select(F.col("p").alias("a"), F.col("up").alias("b")))
     counts = found.groupBy("p").agg(F.sum("n").alias("n"))
     own = points.select("v", "p", "m").join(broadcast_if_small(counts), "p", "left").join(broadcast_if_small(comp.withColumnRenamed("node", "p")), "p", "left")
-    own = own.select("v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "p").alias("component_id"))
-    out = e.join(own, "v", "left")
+    own = written(own.select("v", "m", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "p").alias("component_id")))
+    # the few vectors that many rows share are broadcast, those of no vector meet nothing: no key is one task's burden
+    often = F.col("m") > max(64, own.agg(F.sum("m")).first()[0] // _SHARE)
+    hot, cold = own.where(often).drop("m"), own.where(~often).drop("m")
+    none = e.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    some = e.where("v is not null").join(F.broadcast(hot.select(F.col("v").alias("w"), F.col("n_links").alias("hn"), F.col("component_id").alias("hc"))), F.col("v") == F.col("w"), "left")
+    found = some.where("w is not null").select("vec_id", F.col("hn").alias("n_links"), F.col("hc").alias("component_id"))
+    rest = some.where("w is null").select("vec_id", "v").join(cold, "v", "left").select("vec_id", "n_links", "component_id")
+    out = none.union(found).union(rest)
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, table, written
+from .common import ascii_lower, broadcast_if_small, join_hot, table, written
 
 RULES: tuple[tuple[str, str], ...] = (
     ("allow", "com/"),
@@ -97,7 +97,7 @@ def filter_urls(
         .groupBy("items")
         .agg(F.max(F.struct("confidence", "support", "verdict")).alias("best"), F.count("*").alias("n_mined"))
     )
-    decided = base.join(hits, (base["items"] == hits["items"]) & base["rule"].isNull(), "left")
+    decided = join_hot(base.where("rule is null"), hits, "items", "left").unionByName(base.where("rule is not null"), allowMissingColumns=True)
     return decided.select(
         "page_id",
         "host",

@@ -266,7 +266,7 @@ def test_near_copies(spark):
     base = rng.normal(size=(30, 8))
     rows = [(i, [float(x) for x in base[i % 30] + 0.15 * rng.normal(size=8)]) for i in range(150)]
     rows += [(200 + i, rows[0][1]) for i in range(5)]
-    odd = [(300, None), (301, []), (302, [0.0] * 8), (303, [float("nan")] * 8), (304, [1.0] * 7), (305, [1.0, None] + [0.0] * 6)]
+    odd = [(300, None), (301, []), (302, [0.0] * 8), (303, [float("nan")] * 8), (304, [1.0] * 7), (305, [1.0, None] + [0.0] * 6), (None, None), (307, [float("inf")] + [0.0] * 7)]
     out = {r.vec_id: r for r in embedding_dedup.near_copies(spark.createDataFrame([(*r, 1) for r in rows + odd], "vec_id long, embedding array<double>, label int"), block=40, centres=4).collect()}
     u = np.array([v for _, v in rows])
     u /= np.linalg.norm(u, axis=1, keepdims=True)
@@ -283,6 +283,20 @@ def test_near_copies(spark):
     assert embedding_dedup.near_copies(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_near_copies_lengths(spark):
+    """Vectors of every length are compared with their like; a hot vector and many without any are no special case."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=3 + i % 3)]) for i in range(90)]
+    rows += [(100 + i, [2 * x for x in rows[i][1]]) for i in range(60)] + [(200 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(90)] + [(300 + i, None) for i in range(90)] + [(100, [1.0, 0.0])]
+    out = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_copies(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=10, centres=3).collect())
+    unit = [None if v is None else np.array(v) / np.linalg.norm(v) for _, v in rows]
+    link = [[j for j in range(len(rows)) if j != i and unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.9] for i in range(len(rows))]
+    comp = [i for i, _ in rows]
+    for _ in rows:
+        comp = [min([comp[i], *[comp[j] for j in link[i]]]) for i in range(len(rows))]
+    assert out == sorted((i, len(link[k]), comp[k], i == comp[k]) for k, (i, _) in enumerate(rows))
+
+
 def test_classifier(spark, docs, none):
     r = random.Random(5)
     word = lambda: "".join(r.choices("abcdefg", k=5))
