@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import json
 import tempfile
 import uuid
 
@@ -103,6 +104,13 @@ def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], how: str =
     return left.join(right, keys, how)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of numbers from the driver, made in the JVM: no Python worker reads it."""
+    names = [x.split()[0] for x in schema.split(",")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(':'.join(x.split()) for x in schema.split(','))}>>")))
+
+
 def running(df: DataFrame, order: list[str], **sums: Column) -> DataFrame:
     """df with each column's sum over all rows before in the (unique) order, without one task for all rows: ranges, sums inside, then offsets.
 
@@ -116,7 +124,7 @@ def running(df: DataFrame, order: list[str], **sums: Column) -> DataFrame:
         rows.append((r["range_"], *at.values()))
         at = {k: v + (r[k] or 0) for k, v in at.items()}
     kinds = dict(cut.dtypes)
-    starts = spark.createDataFrame(rows, "range_ int" + "".join(f", {k}_ {'double' if kinds[k] == 'double' else 'long'}" for k in sums))
+    starts = local_rows(spark, rows, "range_ int" + "".join(f", {k}_ {'double' if kinds[k] == 'double' else 'long'}" for k in sums))
     before = Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = cut.select("*", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_in") for k in sums])
     return inside.join(F.broadcast(starts), "range_").select(*df.columns, *[(F.col(f"{k}_in") + F.col(f"{k}_")).alias(k) for k in sums])

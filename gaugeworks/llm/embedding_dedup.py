@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, table, written
+from .common import broadcast_if_small, join_hot, local_rows, table, written
 from .graph import components
 
 COSINE, BLOCK, CENTRES, LEAF = 0.9, 8192, 128, 32
@@ -235,14 +235,15 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOC
     e = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     fit = F.coalesce(~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0), F.lit(False))
     e = e.withColumn("v", F.when(fit, F.transform("v", lambda c: c + 0.0)))
-    points = e.where("v is not null and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("p"), F.count("*").alias("m"))
-    points = written(points.withColumn("width", F.size("v").cast("long")))
+    points = e.where("v is not null and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"))
+    # p numbers the points: a vec_id may stand for several vectors
+    points = written(points.select("*", F.size("v").cast("long").alias("width"), F.monotonically_increasing_id().alias("p")))
     # centres for each length that fills more than one block: a vector for each block in all
     plan = {r.width: (max(2, min(block, _NUMBERS // r.width)), r["count"]) for r in points.groupBy("width").count().collect()}
     coarse = {}
     for w, (most, n) in plan.items():
         if n > most:
-            coarse[w] = units(np.array([r.v for r in points.where(F.col("width") == w).orderBy(F.xxhash64("p"), "p").limit(min(centres, -(-n // most))).collect()]))
+            coarse[w] = units(np.array([r.v for r in points.where(F.col("width") == w).orderBy(F.xxhash64("least"), "least", "p").limit(min(centres, -(-n // most))).collect()]))
     if not plan:
         return embeddings.select(F.col("vec_id").cast("long"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
 
@@ -263,7 +264,7 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOC
         parts = -(-r["count"] // plan[r.width][0])
         rows.append((r.width, r.cell, base, parts))
         base += parts
-    cut = spark.createDataFrame(rows, "width long, cell long, base long, parts long")
+    cut = local_rows(spark, rows, "width long, cell long, base long, parts long")
     blocked = points_in.join(F.broadcast(cut), ["width", "cell"]).withColumn("block", F.col("base") + F.pmod(F.xxhash64("p"), "parts"))
 
     def plant(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
@@ -325,8 +326,9 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOC
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
     comp = components(found.select(F.col("p").alias("a"), F.col("up").alias("b")))
     counts = found.groupBy("p").agg(F.sum("n").alias("n"))
-    own = points.select("v", "p", "m").join(broadcast_if_small(counts), "p", "left").join(broadcast_if_small(comp.withColumnRenamed("node", "p")), "p", "left")
-    own = written(own.select("v", "m", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "p").alias("component_id")))
+    own = points.select("v", "p", "m", "least").join(broadcast_if_small(counts), "p", "left").join(broadcast_if_small(comp.withColumnRenamed("node", "p")), "p", "left")
+    own = written(own.select("v", "m", "least", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "p").alias("component")))
+    own = written(join_hot(own, own.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("v", "m", "n_links", "component_id"))
     # the few vectors that many rows share are broadcast, those of no vector meet nothing: no key is one task's burden
     often = F.col("m") > max(64, own.agg(F.sum("m")).first()[0] // _SHARE)
     hot, cold = own.where(often).drop("m"), own.where(~often).drop("m")
