@@ -87,21 +87,27 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def hot_keys(df: DataFrame, *key: str, share: int = 2000) -> DataFrame:
-    """The keys that hold more than one in `share` of all rows (and more than 64): fewer than `share` keys, whatever the table, so that what is known of each may be broadcast."""
-    per = written(df.groupBy(*key).agg(F.count("*").alias("rows_")).where("rows_ > 64"))
-    return per.where(F.col("rows_") > max(64, df.count() // share)).select(*key)
+SHARE = 2000  # a key of more than one in SHARE rows (and more than 64) is hot: there are fewer than SHARE such keys, whatever the table
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
-    """left.join(right, key, how) where a key may hold a third of the left rows and at most a few of the right: rows of hot keys meet a broadcast (fewer than 2000 keys), the others are shuffled, null keys are not."""
+def hot_limit(df: DataFrame) -> int:
+    return max(64, df.count() // SHARE)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """left.join(right, key, how) where a key may hold a third of the left rows and is at most once on the right: the rows of hot keys meet a broadcast, the others are shuffled.
+
+    hot: the keys of more than hot_limit(left) rows, where the caller has counted them already.
+    """
     keys = [key] if isinstance(key, str) else key
-    hot = written(hot_keys(left, *keys))
-    if not hot.isEmpty():
-        hot = F.broadcast(hot)
-        few = right.join(hot, keys, "left_semi")
-        return left.join(hot, keys, "left_semi").join(F.broadcast(few), keys, how).unionByName(left.join(hot, keys, "left_anti").join(right, keys, how))
-    return left.join(right, keys, how)
+    if hot is None:
+        hot = left.groupBy(*keys).agg(F.count("*").alias("rows_")).where(F.col("rows_") > hot_limit(left))
+    hot = written(hot.select(*keys))
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot)
+    few = right.join(hot, keys, "left_semi")
+    return left.join(hot, keys, "left_semi").join(F.broadcast(few), keys, how).unionByName(left.join(hot, keys, "left_anti").join(right, keys, how))
 
 
 def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Poly, broadcast_if_small, dropped, join_hot, mixed, pieces, small_batches, table, utf8, written
+from .common import Poly, broadcast_if_small, dropped, hot_limit, join_hot, mixed, pieces, small_batches, table, utf8, written
 
 LENGTH, GRAM, HOT, BATCH = 200, 32, 4096, 4000
 _BYTES, _SEGMENT, _PLACE = 1 << 20, 1 << 26, np.uint64(28)  # a segment's places fit in _PLACE bits
@@ -214,16 +214,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     found = written(docs.where(F.octet_length("text") >= length).mapInArrow(scan, "mh long, sh long, sh2 long, rid long, rid2 long, s int, n int"))
     span = F.struct("sh", "sh2")
     several = found.groupBy("mh").agg(F.count("*").alias("c"), F.min(span).alias("lo"), F.max(span).alias("hi")).where("c > 1")
-    rows = written(join_hot(found, several.select("mh", (F.col("lo") == F.col("hi")).alias("pure")), "mh"))
+    several = written(several.select("mh", "c", (F.col("lo") == F.col("hi")).alias("pure")))
+    limit = hot_limit(found)
+    rows = written(join_hot(found, several.select("mh", "pure"), "mh", hot=several.where(F.col("c") > limit)))
     dropped(found)
     ends = (F.col("s") + F.col("n") + (length - 1)).alias("e")
     plain = rows.where("pure").select(*_RID, "s", ends)
     unlike = rows.where("not pure").drop("pure")
     same = ["mh", "sh", "sh2"]
     distinct = written(unlike.groupBy(*same).agg(F.count("*").alias("c"), F.min(F.struct(*_RID, "s", "n")).alias("rep")))
-    again = join_hot(unlike, distinct.where("c > 1").select(*same), same).select(*_RID, "s", ends)
+    again = join_hot(unlike, distinct.where("c > 1").select(*same), same, hot=distinct.where(F.col("c") > limit)).select(*_RID, "s", ends)
     buckets = distinct.groupBy("mh").agg(F.count("*").alias("members"), F.min("c").alias("least")).where("least = 1").select("mh", "members")
-    reps = written(join_hot(distinct, buckets, "mh").select("mh", "members", (F.col("c") == 1).alias("once"), "rep.*"))
+    reps = written(join_hot(distinct, buckets, "mh", hot=buckets.where(F.col("members") > hot_limit(distinct))).select("mh", "members", (F.col("c") == 1).alias("once"), "rep.*"))
     needed = broadcast_if_small(reps.select(*_RID).distinct())
     texts = docs.join(needed, _RID, "left_semi")
     part = F.substring(F.col("text").cast("binary"), F.col("s") + 1, F.col("n") + (length - 1))
