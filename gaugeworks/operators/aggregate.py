@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_json
 from ..schemas import rank
 
 
@@ -26,7 +27,7 @@ def dimension_scores(facts: DataFrame, *keys: str, rules: DataFrame | None = Non
     """
     if rules is not None:
         on = [c for c in ("group_id", "dimension") if c in rules.columns]
-        facts = facts.join(F.broadcast(rules.select(*on, "method", F.col("blocking").alias("dim_blocking"), F.col("weight").alias("dim_weight"))), on, "left")
+        facts = facts.join(rules.select(*on, "method", F.col("blocking").alias("dim_blocking"), F.col("weight").alias("dim_weight")), on, "left")  # a few rows a profile: broadcast by their size
     else:
         facts = facts.withColumns({"method": F.lit(None).cast("string"), "dim_blocking": F.lit(True), "dim_weight": F.lit(1.0)})
     ok, s, w = contributes(), F.col("normalized_score"), F.col("weight")
@@ -76,7 +77,8 @@ def blocking_failures(facts: DataFrame, *keys: str) -> DataFrame:
     return facts.groupBy(*keys).agg(items.alias("blocking_failures"))
 
 
-def run_counters(executions: DataFrame, *keys: str, status: str = "overall_status") -> DataFrame:
+def run_counters(executions: DataFrame, *keys: str, status: str = "overall_status", also: tuple[Column, ...] = ()) -> DataFrame:
+    """expected, terminal, passed, failed, errored and skipped executions of a run, and further aggregates, in one aggregation."""
     s = F.col(status)
     return executions.groupBy(*keys).agg(
         F.count("*").alias("expected"),
@@ -85,6 +87,7 @@ def run_counters(executions: DataFrame, *keys: str, status: str = "overall_statu
         F.count_if(s == "failed").alias("failed"),
         F.count_if(s == "error").alias("errored"),
         F.count_if(s == "skipped").alias("skipped"),
+        *also,
     )
 
 
@@ -94,5 +97,49 @@ def gate(counters: DataFrame) -> DataFrame:
     return counters.withColumn("gate_status", F.when(F.col("terminal") < F.col("expected"), "unknown").when(passed, "pass").otherwise("fail"))
 
 
-def summary_json(counters: DataFrame, *columns: str) -> DataFrame:
-    return counters.withColumn("summary", F.to_json(F.struct(*(columns or counters.columns))))
+def dimension_means(dimensions: DataFrame, *keys: str) -> DataFrame:
+    """dimensions: of each run, array<struct<dimension, executions, mean_score, failing>>, by name."""
+    per = dimensions.groupBy(*keys, "dimension").agg(F.count("*").alias("executions"), F.avg("score").alias("mean_score"), F.sum("n_blocking").alias("failing"))
+    items = F.struct("dimension", "executions", F.round("mean_score", 6).alias("mean_score"), "failing")
+    return per.groupBy(*keys).agg(F.array_sort(F.collect_list(items)).alias("dimensions"))
+
+
+def run_summary(counters: DataFrame, dimensions: DataFrame, *keys: str) -> DataFrame:
+    """counters (one row a run) with summary: canonical JSON of the counters and the dimension breakdown."""
+    metrics = [c for c in counters.columns if c not in keys]
+    joined = counters.join(dimension_means(dimensions, *keys), list(keys), "left")
+    doc = F.to_json(F.struct(F.struct(*metrics).alias("counters"), F.coalesce("dimensions", F.array().cast("array<struct<dimension:string,executions:bigint,mean_score:double,failing:bigint>>")).alias("dimensions")))
+    return joined.select(*counters.columns, canonical_json(doc).alias("summary"))
+
+
+def complete(facts: DataFrame, expected: DataFrame, key: str = "execution_id") -> DataFrame:
+    """expected (key, expected_evaluator_count) with reported (distinct evaluators) and complete."""
+    got = facts.groupBy(key).agg(F.count_distinct("evaluator_id").alias("reported"))
+    out = expected.join(got, key, "left").withColumn("reported", F.coalesce("reported", F.lit(0)))
+    return out.withColumn("complete", F.col("reported") >= F.col("expected_evaluator_count"))
+
+
+def usage_summary(attempts: DataFrame, *keys: str, latency: str = "total_latency_ms", usage: str = "token_usage", accuracy: int = 10_000) -> DataFrame:
+    """Latency (mean, median, 95th percentile, largest) and summed token counts (of the JSON usage) of attempts.
+
+    Percentiles are the sketch's, whose state is bounded whatever a group holds; its rank error is 1 / accuracy.
+    """
+    tokens = lambda name: F.coalesce(F.sum(F.try_variant_get(F.try_parse_json(usage), f"$.{name}", "bigint")), F.lit(0)).alias(name)
+    return attempts.groupBy(*keys).agg(
+        F.count("*").alias("attempts"),
+        F.avg(latency).alias("mean_latency"),
+        F.percentile_approx(latency, 0.5, accuracy).alias("median_latency"),
+        F.percentile_approx(latency, 0.95, accuracy).alias("p95_latency"),
+        F.max(latency).alias("max_latency"),
+        tokens("prompt_tokens"),
+        tokens("completion_tokens"),
+    )
+
+
+def breakdown(facts: DataFrame, *dims: str) -> DataFrame:
+    """Counts for each combination and every total (nulls stand for all)."""
+    return facts.rollup(*dims).agg(F.count("*").alias("n"))
+
+
+def status_pivot(facts: DataFrame, *keys: str, statuses: tuple[str, ...] = ("passed", "failed", "error", "skipped")) -> DataFrame:
+    return facts.groupBy(*keys).agg(*[F.count_if(F.col("status") == s).alias(s) for s in statuses])

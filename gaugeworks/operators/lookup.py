@@ -26,9 +26,10 @@ def oldest(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order."""
-    return df.withColumn("rn_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("rn_ = 1").drop("rn_")
+def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The row of each key that is last in the order (ascending columns, unique within a key), by a partial aggregation: no key is sorted in one task."""
+    top = F.max_by(F.struct(*df.columns), F.struct(*order))
+    return df.groupBy(*keys).agg(top.alias("top_")).select(*[F.col("top_")[c].alias(c) for c in df.columns])
 
 
 def latest_by(df: DataFrame, keys: list[str], by: str, *columns: str) -> DataFrame:
@@ -45,4 +46,22 @@ def chunk_scan(members: DataFrame, blobs: DataFrame, version: str, start: int, e
 
 def authoritative(attempts: DataFrame) -> DataFrame:
     """Each execution's last attempt that is not stale."""
-    return latest(attempts.where("status <> 'stale'"), ["execution_id"], F.col("attempt_no").desc())
+    return latest(attempts.where("status <> 'stale'"), ["execution_id"], "attempt_no")
+
+
+def current_results(results: DataFrame, attempts: DataFrame) -> DataFrame:
+    """The results of each execution's authoritative attempt."""
+    return results.join(authoritative(attempts).select(F.col("id").alias("attempt_id")), "attempt_id", "left_semi")
+
+
+def run_results(runs: DataFrame, executions: DataFrame, attempts: DataFrame, results: DataFrame) -> DataFrame:
+    """The facts of runs with what they hang on: run, execution and attempt, joined along the foreign keys."""
+    r = runs.select(F.col("id").alias("run_id"), "run_key")
+    e = executions.select(F.col("id").alias("execution_id"), "run_id", "case_id")
+    a = attempts.select(F.col("id").alias("attempt_id"), "execution_id", "attempt_no")
+    facts = results.drop("run_id", "execution_id")
+    return r.join(e, "run_id").join(a, "execution_id").join(facts, "attempt_id")
+
+
+def by_status(df: DataFrame, status: str, limit: int, order: str = "available_at") -> DataFrame:
+    return oldest(df.where(F.col("status") == status), limit, order, "id")

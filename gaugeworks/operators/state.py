@@ -7,6 +7,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import stable_id
+from ..schemas import enforce
+
 # Fixed values, in seconds.
 RUN_LEASE, CHUNK_LEASE, OUTBOX_LEASE, RETRY_DELAY = 60, 60, 30, 10
 OUTBOX_BATCH = 32
@@ -114,9 +117,45 @@ def finalize_run(runs: DataFrame, gates: DataFrame, now: Any) -> DataFrame:
     return new.select(*runs.columns)
 
 
+def completed_events(before: DataFrame, after: DataFrame, now: Any) -> DataFrame:
+    """A run.completed event for each run that `finalize_run` has just completed; its key makes a repetition harmless."""
+    done = after.where("status = 'completed'").join(before.where("status <> 'completed'").select("id"), "id", "left_semi")
+    key = F.format_string("run:%s:completed", "id")
+    payload = F.to_json(F.struct(F.col("id").alias("run_id"), "gate_status"))
+    return done.select(stable_id(F.lit("event"), key).alias("id"), F.lit("run.completed").alias("event_type"), F.lit("run").alias("aggregate_type"), F.col("id").alias("aggregate_id"), key.alias("dedupe_key"), payload.alias("payload"), F.lit("pending").alias("status"), at(now).alias("available_at"), at(now).alias("created_at"), at(now).alias("updated_at"))
+
+
+def enqueue(events: DataFrame, new: DataFrame) -> DataFrame:
+    """The events to append: one of each dedupe_key that the log has not."""
+    return insert_ignore(events, new, "dedupe_key")
+
+
+def ready_events(chunks: DataFrame, now: Any) -> DataFrame:
+    """A run.chunk.ready event for each pending chunk."""
+    key = F.format_string("run:%s:chunk:%s:ready", "run_id", "id")
+    payload = F.to_json(F.struct("run_id", F.col("id").alias("chunk_id"), "dataset_version_id", "ordinal_start", "ordinal_end"))
+    return chunks.where("status = 'pending'").select(stable_id(F.lit("event"), key).alias("id"), F.lit("run.chunk.ready").alias("event_type"), F.lit("run_chunk").alias("aggregate_type"), F.col("id").alias("aggregate_id"), key.alias("dedupe_key"), payload.alias("payload"), F.lit("pending").alias("status"), at(now).alias("available_at"), at(now).alias("created_at"), at(now).alias("updated_at"))
+
+
+def started_events(runs: DataFrame, now: Any) -> DataFrame:
+    """A run.started event for each running run."""
+    key = F.format_string("run:%s:started", "id")
+    payload = F.to_json(F.struct(F.col("id").alias("run_id"), "dataset_version_id"))
+    return runs.where("status = 'running'").select(stable_id(F.lit("event"), key).alias("id"), F.lit("run.started").alias("event_type"), F.lit("run").alias("aggregate_type"), F.col("id").alias("aggregate_id"), key.alias("dedupe_key"), payload.alias("payload"), F.lit("pending").alias("status"), at(now).alias("available_at"), at(now).alias("created_at"), at(now).alias("updated_at"))
+
+
 # ---- inserts, upserts, patches, deletes -----------------------------------------------------
 
 
+def inserted(table: DataFrame, rows: DataFrame, keys: tuple[tuple[str, ...], ...], checks: dict[str, str] | None = None) -> DataFrame:
+    """The rows to append, checked as they are written: a row that breaks a check raises when read, a key that is taken or repeated raises now."""
+    for key in keys:
+        every = table.select(*key).union(rows.select(*key))
+        if not every.groupBy(*key).count().where("count > 1").isEmpty():
+            raise ValueError(f"{', '.join(key)} is taken")
+    return enforce(rows, checks) if checks else rows
+
+
 def insert_ignore(table: DataFrame, rows: DataFrame, *key: str) -> DataFrame:
     """The rows to append: one of each key that the table has not."""
     return rows.dropDuplicates(list(key)).join(table.select(*key), list(key), "left_anti")
@@ -147,7 +186,7 @@ def delete_cascade(tables: dict[str, DataFrame], name: str, ids: DataFrame, fore
         t, column, gone = todo.pop()
         dead = out[t].join(gone.withColumnRenamed("id", column), column, "left_semi")
         for child, c, parent, key in foreign:
-            if parent == t and child in out and key in dead.columns:
+            if parent == t and child in out and key in dead.columns and c in out[child].columns:
                 todo.append((child, c, dead.select(F.col(key).alias("id"))))
         out[t] = out[t].join(gone.withColumnRenamed("id", column), column, "left_anti")
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical as C
 from ..operators.routing import bind, route
-from ..sources.documents import load_dataset, load_profile, profile_ids
+from ..operators.state import ready_events
+from ..schemas import conform, schema
+from ..sources.documents import load_dataset, load_profile, profile_ids, profile_settings
 
 
 def dense_ordinals(df: DataFrame, *order: str, name: str = "ordinal", parts: int | None = None) -> DataFrame:
@@ -45,38 +48,84 @@ def chunk_of(ordinal: str, size: int = C.CHUNK_SIZE):
     return F.floor(F.col(ordinal) / size)
 
 
-def chunk_ready_event(run_id, chunk_id):
-    return F.format_string("run:%s:chunk:%s:ready", run_id, chunk_id)
-
+def plan_run(spark: SparkSession, profile: str, dataset: str, run_key: str, now: str, size: int = C.CHUNK_SIZE) -> dict[str, Any]:
+    """All tables of a new run, keyed by name, from the two documents."""
+    raw_d, cases = load_dataset(spark, dataset)
+    return plan_cases(spark, profile, cases, raw_d.get("dataset_id"), raw_d.get("dataset_version"), run_key, now, size)
 
-def run_started_event(run_id):
-    return F.format_string("run:%s:started", run_id)
 
+def plan_cases(spark: SparkSession, profile: str, cases: DataFrame, dataset_id: str | None, version: str | None, run_key: str, now: str, size: int = C.CHUNK_SIZE) -> dict[str, Any]:
+    """The same for cases (sources.documents.CASES) of any number: nothing of them comes to the driver but the version's hash and count.
 
-def plan_run(spark: SparkSession, profile: str, dataset: str, run_key: str, now: str, size: int = C.CHUNK_SIZE) -> dict[str, Any]:
-    """All tables of a new run, keyed by name, from the two documents."""
+    The tables have their declared columns and types (schemas.conform); routed, bound, unmatched, rules, bindings and
+    settings are what evaluation goes on with.
+    """
     raw_p, groups, bindings, rules = load_profile(spark, profile)
-    raw_d, cases = load_dataset(spark, dataset)
     cases = cases.withColumn("case_hash", C.case_hash(*map(F.col, ("task_type", "input", "expected", "context", "tags", "metadata"))))
-    dataset_id, version = str(raw_d.get("dataset_id") or run_key), str(raw_d.get("dataset_version") or "1")
     at, run_id = F.lit(now).cast("timestamp"), C.hash_value({"run_key": run_key})[:32]
-    dv = cases.agg(C.dataset_version_id(F.lit(dataset_id), F.lit(version), F.col("ordinal"), F.col("case_id"), F.col("case_hash")).alias("dataset_version_id"), F.count("*").alias("n"))
-    dv = dv.withColumns({"dataset_id": F.lit(dataset_id), "dataset_version": F.lit(version), "created_at": at, "updated_at": at})
+    stamped = {"created_at": at, "updated_at": at}
+    named = cases.select(F.lit(str(dataset_id or run_key)).alias("dataset_id"), F.lit(str(version or "")).alias("dataset_version"), "ordinal", "case_id", "case_hash")
+    known = C.dataset_version_ids(named).first()
+    if known is None:
+        raise ValueError("a dataset has at least one case")
+    version_id, n = known["dataset_version_id"], known["n"]
+    version = str(version or version_id)
+    one = spark.range(1).select(F.lit(version_id).alias("dataset_version_id"), F.lit(known["dataset_id"]).alias("dataset_id"), F.lit(version).alias("dataset_version"))
     routed = route(cases, groups)
     ids = profile_ids(raw_p)
-    ranges = chunk_table(dv.select("dataset_version_id", "n"), size).withColumn("run_id", F.lit(run_id)).withColumn("id", C.stable_id(F.lit(run_id), F.col("ordinal_start"))).withColumns({"profile_group_id": F.lit("default"), "status": F.lit("pending"), "created_at": at, "updated_at": at}).drop("n")
-    ready = ranges.select(C.stable_id(F.lit("event"), F.col("id")).alias("id"), F.lit("run.chunk.ready").alias("event_type"), F.lit("run_chunk").alias("aggregate_type"), F.col("id").alias("aggregate_id"), chunk_ready_event(F.lit(run_id), F.col("id")).alias("dedupe_key"), F.to_json(F.struct("run_id", F.col("id").alias("chunk_id"), "dataset_version_id", "ordinal_start", "ordinal_end")).alias("payload"), F.lit("pending").alias("status"), at.alias("available_at"))
-    blobs = cases.dropDuplicates(["case_hash"]).select("case_hash", "task_type", F.col("input").alias("input_payload"), F.col("expected").alias("expected_output"), F.col("context").alias("context_payload"), "tags", "metadata")
-    members = cases.select("case_id", F.col("ordinal").alias("case_ordinal"), "case_hash", F.lit(dv.first()["dataset_version_id"]).alias("dataset_version_id"))
-    run = dv.select(F.lit(run_id).alias("id"), F.lit(run_key).alias("run_key"), "dataset_id", "dataset_version_id", "dataset_version", *[F.lit(v).alias(k) for k, v in ids.items()], F.lit(C.aggregation_policy_hash(raw_p)).alias("aggregation_policy_hash"), F.lit("pending").alias("status"), F.lit("unknown").alias("gate_status"), F.col("n").cast("int").alias("expected_execution_count"), F.to_json(F.struct(F.lit(C.canonical(raw_p)).alias("profile"))).alias("config_snapshot"), at.alias("created_at"))
-    return {"runs": run, "dataset_versions": dv.drop("n"), "case_blobs": blobs, "dataset_version_cases": members, "run_chunks": ranges, "outbox_events": ready, "routed": routed, "bound": bind(routed.where("group_id is not null"), bindings), "unmatched": routed.where("group_id is null"), "rules": rules}
+    ranges = chunk_table(one.select("dataset_version_id", F.lit(n).cast("long").alias("n")), size).withColumn("run_id", F.lit(run_id)).withColumn("id", C.stable_id(F.lit(run_id), F.col("ordinal_start"))).withColumns({"profile_group_id": F.lit("default"), "status": F.lit("pending"), **stamped})
+    blobs = cases.dropDuplicates(["case_hash"]).select("case_hash", "task_type", F.col("input").alias("input_payload"), F.coalesce("expected", F.lit("null")).alias("expected_output"), F.coalesce("context", F.lit("null")).alias("context_payload"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "metadata", at.alias("created_at"))
+    members = cases.select(F.lit(version_id).alias("dataset_version_id"), "case_id", F.col("ordinal").alias("case_ordinal"), "case_hash").withColumns(stamped)
+    policy_hash = C.aggregation_policy_hash(raw_p)
+    snapshot = {"profile": raw_p, "dataset_version_id": version_id, "aggregation_policy_hash": policy_hash, "chunk_size": size, **ids}
+    # What a run says of policy, agent and prompt where nothing else is known.
+    fixed = {"aggregation_policy_id": "profile_case_group_aggregation", "aggregation_policy_version": "v3", "agent_provider": "unknown", "agent_name": "unknown", "prompt_config_id": "default", "prompt_config_version": "v1"}
+    zero = dict.fromkeys(("terminal_execution_count", "passed_execution_count", "failed_execution_count", "errored_execution_count"), 0)
+    texts = {"id": run_id, "run_key": run_key, "evaluation_profile_id": str(raw_p["profile_id"]), "evaluation_profile_version": str(raw_p["profile_version"]), "aggregation_policy_hash": policy_hash, "status": "pending", "gate_status": "unknown", "config_snapshot": C.canonical(snapshot), "summary": "{}", **fixed, **ids}
+    run = one.withColumns({k: F.lit(v) for k, v in {**texts, **zero, "expected_execution_count": n}.items()} | stamped)
+    chunks_ = conform(ranges, "run_chunks")
+    return {
+        "runs": conform(run, "runs"),
+        "dataset_versions": conform(one.withColumns(stamped), "dataset_versions"),
+        "case_blobs": conform(blobs, "case_blobs"),
+        "dataset_version_cases": conform(members, "dataset_version_cases"),
+        "run_chunks": chunks_,
+        "outbox_events": conform(ready_events(chunks_, now), "outbox_events"),
+        "routed": routed,
+        "bound": bind(routed.where("group_id is not null"), bindings),
+        "unmatched": routed.where("group_id is null"),
+        "rules": rules,
+        "bindings": bindings,
+        "settings": profile_settings(raw_p),
+        "run_id": run_id,
+    }
+
+
+PLANNED = ("runs", "dataset_versions", "case_blobs", "dataset_version_cases", "run_chunks", "outbox_events")
+
+
+def collection_counts(plan: dict[str, Any]) -> DataFrame:
+    """case_count, blob_count, chunk_count and event_count of a planned run."""
+    counts = {"case_count": "dataset_version_cases", "blob_count": "case_blobs", "chunk_count": "run_chunks", "event_count": "outbox_events"}
+    parts = [plan[t].agg(F.count("*").alias("n")).select(F.lit(c).alias("what"), "n") for c, t in counts.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def commit(tables: dict[str, DataFrame], folder: str) -> str:
-    """Stage all tables, then publish them by one marker: readers take only folders with the marker."""
+    """Stage all tables, then publish them by one marker: `committed` reads only folders with the marker."""
     spark = next(iter(tables.values())).sparkSession
     stage = f"{folder.rstrip('/')}/batch-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{stage}/{name}")
     spark.createDataFrame([(stage,)], "batch string").coalesce(1).write.json(f"{stage}/committed")
     return stage
+
+
+def committed(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table over all batches that were published; what a failed commit left behind is not seen."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/batch-*/committed/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    stages = sorted(str(f.getPath().getParent().getParent()) for f in found)
+    if not stages:
+        return spark.createDataFrame([], schema(table))
+    return spark.read.schema(schema(table)).parquet(*[f"{s}/{table}" for s in stages])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,28 +11,15 @@ from .functions.canonical import CHUNK_SIZE, canonical_json, identifier_parts
 from .operators import aggregate as A
 from .operators import registry as R
 from .operators import state as U
-from .operators.lookup import authoritative, latest, page
+from .operators.lookup import authoritative, chunk_scan, latest, page
 from .operators.routing import http_allowed, persisted, route
 from .plans.runs import chunk_table, dense_ordinals
+from .query_base import NOW, ORACLES, QUERIES, WORDS, query
+from .query_base import cases as _cases
+from .query_base import table as _t
+from .streaming.outbox import deduped
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-NOW, DAY = "2024-01-15 00:00:00", "2024-01-15"
-WORDS = {"positive": ("the", "and", "in", "de", "der"), "negative": ("of", "to", "la", "is", "that")}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def _quoted(words: tuple[str, ...]) -> str:
@@ -44,22 +29,17 @@ def _quoted(words: tuple[str, ...]) -> str:
 # ---- cases ----------------------------------------------------------------------------------
 
 
-def _cases(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.col("lang").alias("task_type"), F.array("lang", "source").alias("tags"), F.sha2("text", 256).alias("case_hash"), "text")
-
-
 @query("SELECT sha256(text) AS case_hash, min(doc_id) AS first_case, count(*) AS n FROM documents GROUP BY 1")
 def q_blob_dedupe(spark, d):
     return _cases(spark, d).groupBy("case_hash").agg(F.min("case_id").alias("first_case"), F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id AS case_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS ordinal, sha256(text) AS case_hash FROM documents
+@query("""SELECT doc_id AS case_id, (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS ordinal, sha256(text) AS case_hash, length(text) AS payload FROM documents
 QUALIFY row_number() OVER (ORDER BY doc_id) - 1 BETWEEN 100 AND 199""")
 def q_chunk_scan(spark, d):
-    members = dense_ordinals(_cases(spark, d).select("case_id", "case_hash"), "case_id").withColumn("ordinal", F.col("ordinal").cast("long"))
-    part = members.where((F.col("ordinal") >= 100) & (F.col("ordinal") < 200))
-    blobs = _cases(spark, d).select("case_hash").distinct()
-    return part.join(blobs, "case_hash").select("case_id", "ordinal", "case_hash")
+    members = dense_ordinals(_cases(spark, d).select(F.lit("v").alias("dataset_version_id"), "case_id", "case_hash"), "case_id", name="case_ordinal")
+    blobs = _cases(spark, d).groupBy("case_hash").agg(F.first(F.length("text")).cast("long").alias("payload"))
+    return chunk_scan(members, blobs, "v", 100, 200).select("case_id", F.col("case_ordinal").cast("long").alias("ordinal"), "case_hash", "payload")
 
 
 @query(f"""SELECT lang AS task_type, a AS ordinal_start, least(a + {CHUNK_SIZE}, n)::BIGINT AS ordinal_end FROM
@@ -74,7 +54,7 @@ def q_case_routing(spark, d):
     return route(_cases(spark, d), groups).select("case_id", "group_id")
 
 
-@query()
+@query("""SELECT event_id, '{"a":{"c":[2,1],"d":1},"p":' || replace(props, ' ', '') || ',"v":' || regexp_replace(value::VARCHAR, '\\.0$', '') || '}' AS canonical FROM events""")
 def q_canonical_json(spark, d):
     return _t(spark, d, "events").select("event_id", canonical_json(F.concat(F.lit('{"v":'), F.col("value").cast("string"), F.lit(',"p":'), F.col("props"), F.lit(',"a":{"d":1,"c":[2,1]}}'))).alias("canonical"))
 
@@ -160,18 +140,19 @@ def q_run_gate(spark, d):
 
 @query(f"WITH {_FACTS} SELECT dimension, status, count(*) AS n FROM f GROUP BY ROLLUP (dimension, status)")
 def q_failure_breakdown(spark, d):
-    return _facts(spark, d).rollup("dimension", "status").agg(F.count("*").alias("n"))
+    return A.breakdown(_facts(spark, d), "dimension", "status")
 
 
 @query(f"WITH {_FACTS} SELECT dimension, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'skipped') AS skipped FROM f GROUP BY 1")
 def q_status_pivot(spark, d):
-    p = _facts(spark, d).groupBy("dimension").pivot("status", ["passed", "failed", "error", "skipped"]).count()
-    return p.select("dimension", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("passed", "failed", "error", "skipped")])
+    return A.status_pivot(_facts(spark, d), "dimension")
 
 
-@query("SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, max(value) AS top, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY 1")
+@query("""SELECT event_type, count(*) AS attempts, round(avg(value), 4) AS mean_latency, quantile_disc(value, 0.5) AS median_latency, quantile_disc(value, 0.95) AS p95_latency, max(value) AS max_latency,
+coalesce(sum((props::JSON->>'k')::BIGINT), 0)::BIGINT AS prompt_tokens, 0::BIGINT AS completion_tokens FROM events GROUP BY 1""")
 def q_latency_summary(spark, d):
-    return _t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max("value").alias("top"), F.round(F.percentile("value", 0.5), 6).alias("median"))
+    u = A.usage_summary(_t(spark, d, "events").withColumn("props", F.regexp_replace("props", '"k"', '"prompt_tokens"')), "event_type", latency="value", usage="props")
+    return u.withColumn("mean_latency", F.round("mean_latency", 4))
 
 
 @query("SELECT doc_id, quality, toxic, CASE WHEN toxic = 1 THEN 'failed' WHEN quality = 0 THEN 'failed' ELSE 'passed' END AS overall_status FROM labels")
@@ -189,9 +170,9 @@ _SENTIMENT = f"""s AS (SELECT *, len(list_filter(w, lambda x: x IN ({_quoted(WOR
 
 
 def _sentiment(spark: SparkSession, d: str) -> DataFrame:
-    """Each distinct text is judged once; the verdict goes to all its documents."""
-    docs = _t(spark, d, "documents").select("doc_id", "lang", "text")
-    return docs.select("doc_id", "lang", E.sentiment(E.tokens(F.col("text")), **WORDS).alias("s"))
+    """One scan of each text finds its tokens in the lexicons; all the rest comes from these few."""
+    hits = _t(spark, d, "documents").select("doc_id", "lang", E.lexicon_hits(F.col("text"), **WORDS).alias("hits"))
+    return hits.select("doc_id", "lang", E.sentiment(F.col("hits"), **WORDS).alias("s"))
 
 
 @query(f"WITH {_SENTIMENT} SELECT doc_id, (p - n)::INT AS score, p::INT AS positive_matches, n::INT AS negative_matches, CASE WHEN p > n THEN 'positive' WHEN p < n THEN 'negative' ELSE 'neutral' END AS label, CASE WHEN p > n THEN 1.0 WHEN p < n THEN 0.0 ELSE 0.5 END::DOUBLE AS normalized, CASE WHEN p < n THEN 'failed' ELSE 'passed' END AS status, CASE WHEN p < n THEN 'medium' ELSE 'none' END AS severity FROM s")
@@ -202,7 +183,7 @@ def q_sentiment(spark, d):
 @query(f"WITH {_SENTIMENT} SELECT lang, count(*) AS expected, count(*) FILTER (p >= n) AS passed, count(*) FILTER (p < n) AS failed, round(avg(CASE WHEN p > n THEN 1.0 WHEN p < n THEN 0.0 ELSE 0.5 END), 6) AS mean_score, CASE WHEN bool_and(p >= n) THEN 'pass' ELSE 'fail' END AS gate_status FROM s GROUP BY lang")
 def q_gate_by_lang(spark, d):
     s = _sentiment(spark, d).select("lang", "s.normalized", "s.status")
-    out = A.run_counters(s, "lang", status="status").join(s.groupBy("lang").agg(F.round(F.avg("normalized"), 6).alias("mean_score")), "lang")
+    out = A.run_counters(s, "lang", status="status", also=(F.round(F.avg("normalized"), 6).alias("mean_score"),))
     return A.gate(out).select("lang", "expected", "passed", "failed", "mean_score", "gate_status")
 
 
@@ -229,13 +210,33 @@ def q_preference(spark, d):
     return c.select("conv_id", S.normalize(score).alias("normalized"))
 
 
-@query()
+_LONG = "SELECT doc_id, 0 AS finding_no, CASE WHEN doc_id % 7 = 3 THEN 'other' ELSE 'format' END AS dimension, CASE WHEN doc_id % 7 = 3 THEN 'error' WHEN length(text) < 400 THEN 'passed' ELSE 'failed' END AS status, CASE WHEN doc_id % 7 <> 3 THEN least(1.0, 200 / greatest(length(text), 1)) END::DOUBLE AS value, CASE WHEN doc_id % 7 = 3 THEN 'no verdict on ' || doc_id END AS reason FROM documents"
+
+
+def _judged(df):
+    return df.select("doc_id", "finding_no", "finding.dimension", "finding.status", F.col("finding.score.value").alias("value"), "finding.reason")
+
+
+@query(_LONG)
 def q_custom_evaluator(spark, d):
-    def long_words(row):
-        n = max((len(w) for w in row["text"].split()), default=0)
-        return [{"dimension": "format", "status": "passed" if n < 40 else "failed", "score": {"kind": "normalized", "value": min(1.0, 20 / max(n, 1))}}]
+    def short(row):
+        if row["doc_id"] % 7 == 3:
+            raise ValueError(f"no verdict on {row['doc_id']}")
+        n = len(row["text"])
+        return [{"dimension": "format", "status": "passed" if n < 400 else "failed", "score": {"kind": "normalized", "value": min(1.0, 200 / max(n, 1))}}]
+
+    return _judged(E.custom_evaluator(_t(spark, d, "documents"), short, "doc_id", "text"))
 
-    return E.custom_evaluator(_t(spark, d, "documents"), long_words, "doc_id", "text").select("doc_id", "finding_no", "finding.dimension", "finding.status", F.col("finding.score.value").alias("value"))
+
+@query(_LONG)
+def q_batch_evaluator(spark, d):
+    def short(frame):
+        if (bad := frame["doc_id"][frame["doc_id"] % 7 == 3]).size:
+            raise ValueError(f"no verdict on {bad.iloc[0]}")
+        n = frame["text"].str.len()
+        return [[{"dimension": "format", "status": s, "score": {"kind": "normalized", "value": v}}] for s, v in zip(n.lt(400).map({True: "passed", False: "failed"}), (200 / n.clip(lower=1)).clip(upper=1.0), strict=True)]
+
+    return _judged(E.batch_evaluator(_t(spark, d, "documents"), short, "doc_id", "text"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'error' OR value > 80 THEN props END AS raw_evaluator_output FROM events")
@@ -289,9 +290,9 @@ def q_claim_outbox(spark, d):
     return U.claim_outbox(_outbox(spark, d), NOW)[0].select("id", F.col("available_at").cast("timestamp_ntz").alias("available_at"))
 
 
-@query("SELECT min(ts) AS first_at, count(*) AS n, 'user:' || user_id || ':' || event_type || ':' || strftime(ts, '%Y-%m-%d') AS dedupe_key FROM events GROUP BY ALL")
+@query("SELECT DISTINCT event_type, 'user:' || user_id || ':' || event_type || ':' || strftime(ts, '%Y-%m-%d') AS dedupe_key FROM events")
 def q_outbox_dedupe(spark, d):
-    return _outbox(spark, d).groupBy("dedupe_key").agg(F.min("available_at").cast("timestamp_ntz").alias("first_at"), F.count("*").alias("n"))
+    return deduped(_outbox(spark, d)).select("event_type", "dedupe_key")
 
 
 @query(f"SELECT event_id AS id, CASE WHEN event_type IN ('purchase', 'view') THEN 'published' ELSE 'pending' END AS status, CASE WHEN event_type = 'click' THEN TIMESTAMP '{NOW}' + INTERVAL 10 SECOND ELSE ts END AS available_at, CASE WHEN event_type = 'click' THEN 'unreachable' END AS error_message FROM events")
@@ -364,7 +365,7 @@ def q_orphans(spark, d):
 
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def q_latest_event(spark, d):
-    return latest(_t(spark, d, "events"), ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_id")
+    return latest(_t(spark, d, "events").select("user_id", "ts", "event_id"), ["user_id"], "ts", "event_id").select("user_id", "event_id")
 
 
 @query("SELECT doc_id, sha256(text) AS case_hash FROM documents WHERE lang <> 'en' AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en') QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1")
@@ -372,3 +373,7 @@ def q_insert_ignore(spark, d):
     c = _cases(spark, d)
     new = c.where("task_type <> 'en'").groupBy("case_hash").agg(F.min("case_id").alias("doc_id"))
     return U.insert_ignore(c.where("task_type = 'en'"), new, "case_hash").select("doc_id", "case_hash")
+
+
+# the rest of the queries register themselves in the same list
+from . import queries_contracts, queries_runs  # noqa: E402, F401

@@ -21,7 +21,7 @@ ENUMS: dict[str, tuple[str, ...]] = {
     "severity": ("none", "low", "medium", "high", "critical"),
     "outbox_status": ("pending", "published", "failed"),
     "chunk_status": ("pending", "leased", "completed", "failed", "cancelled"),
-    "dimension": ("correctness", "format", "safety", "quality", "latency", "tool_use", "calibration"),
+    "dimension": ("correctness", "format", "safety", "quality", "latency", "tool_use", "calibration", "other"),
     "preference": ("preferred", "tie", "not_preferred"),
     "score_kind": ("binary", "range", "normalized", "severity_mapped", "preference", "informational"),
     "aggregation_method": ("min_score", "weighted_mean"),
@@ -33,7 +33,7 @@ SCORE = "struct<kind: string, passed: boolean, value: double, min: double, max:
 
 # The columns of the tables. JSON columns are variants.
 TABLES: dict[str, str] = {
-    "evaluators": "id string not null, namespace string not null, name string not null, version string not null, content_hash string not null, artifact binary not null, artifact_bytes bigint not null, interface_name string, interface_version string, world string, runtime string not null, runtime_version string not null, runtime_fingerprint string not null, description string, tags array<string> not null, metadata variant not null, state string not null, state_reason string, created_at timestamp not null, updated_at timestamp not null",
+    "evaluators": "id string not null, namespace string not null, name string not null, version string not null, content_hash string not null, wasm_bytes binary not null, wasm_size_bytes bigint not null, interface_name string, interface_version string, wit_world string, runtime string not null, runtime_version string not null, runtime_fingerprint string not null, description string, tags array<string> not null, metadata variant not null, state string not null, state_reason string, created_at timestamp not null, updated_at timestamp not null",
     "evaluator_http_policies": "id string not null, evaluator_id string not null, uri string not null, action string not null, created_at timestamp not null, updated_at timestamp not null",
     "dataset_versions": "dataset_version_id string not null, dataset_id string not null, dataset_version string not null, created_at timestamp not null, updated_at timestamp not null",
     "runs": "id string not null, run_key string not null, name string, description string, dataset_id string not null, dataset_version_id string not null, dataset_version string not null, evaluation_profile_id string not null, evaluation_profile_version string not null, profile_version_id string not null, profile_hash string not null, aggregation_policy_id string not null, aggregation_policy_version string not null, aggregation_policy_hash string not null, agent_provider string not null, agent_name string not null, agent_version string, prompt_config_id string not null, prompt_config_version string not null, config_snapshot variant not null, status string not null, gate_status string not null, coordinator_id string, coordinator_leased_until timestamp, coordinator_heartbeat_at timestamp, expected_execution_count int not null, terminal_execution_count int not null, passed_execution_count int not null, failed_execution_count int not null, errored_execution_count int not null, summary variant not null, error_message string, created_at timestamp not null, started_at timestamp, dispatched_at timestamp, finalized_at timestamp, completed_at timestamp, updated_at timestamp not null",
@@ -79,7 +79,7 @@ FOREIGN: tuple[tuple[str, str, str, str], ...] = (
 )
 
 CHECKS: dict[str, dict[str, str]] = {
-    "evaluators": {"artifact_bytes": "artifact_bytes >= 0"},
+    "evaluators": {"wasm_size_bytes": "wasm_size_bytes >= 0"},
     "runs": {"counts": "least(expected_execution_count, terminal_execution_count, passed_execution_count, failed_execution_count, errored_execution_count) >= 0"},
     "run_chunks": {"range": "ordinal_start >= 0 AND ordinal_end > ordinal_start"},
     "dataset_version_cases": {"ordinal": "case_ordinal >= 0"},
@@ -93,6 +93,27 @@ def schema(table: str) -> StructType:
     return StructType.fromDDL(TABLES[table])
 
 
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """The table's declared columns, in order and of their types: JSON texts become variants, absent nullable columns null.
+
+    A null in a column that may not be null, and a broken check, raise when the row is read.
+    """
+    declared, have = schema(table), {c.lower() for c in df.columns}
+    if missing := [f.name for f in declared if not f.nullable and f.name not in have]:
+        raise ValueError(f"{table} needs {', '.join(missing)}")
+    kinds = dict(df.dtypes)
+
+    def shaped(f) -> Column:
+        kind = f.dataType.simpleString()
+        if f.name not in have:
+            return F.lit(None).cast(kind)
+        return F.parse_json(f.name) if kind == "variant" and kinds[f.name] == "string" else F.col(f.name).cast(kind)
+
+    out = df.select(*[shaped(f).alias(f.name) for f in declared])
+    present = {f"{f.name} is not null": f"`{f.name}` IS NOT NULL" for f in declared if not f.nullable}
+    return enforce(out, present | CHECKS.get(table, {}))
+
+
 def create_all(spark: SparkSession, folder: str) -> dict[str, str]:
     """Empty Parquet tables under a folder, one for each name; the paths."""
     paths = {t: str(PurePosixPath(folder) / t) for t in TABLES}

@@ -6,6 +6,7 @@ from typing import Any
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical, hash_value
 from ..schemas import ENUMS
@@ -80,12 +81,45 @@ def profile_ids(raw: dict[str, Any]) -> dict[str, str]:
     return {"profile_hash": hash_value(raw), "profile_version_id": f"{raw['profile_id']}/{raw['profile_version']}"}
 
 
+def profile_settings(raw: dict[str, Any]) -> dict[str, Any]:
+    """A profile's defaults and persistence settings, checked; what it leaves out has the value of a plain run."""
+    d, p = raw.get("defaults") or {}, raw.get("persistence") or {}
+    out = {
+        "max_attempts": int(d.get("max_attempts", 1)),
+        "request_timeout_secs": int(d.get("request_timeout_secs", 60)),
+        "fail_on_any_blocking_failure": bool(d.get("fail_on_any_blocking_failure", True)),
+        "min_execution_score": float(d.get("min_execution_score", 0.0)),
+        "mode": p.get("mode", "full"),
+        "persist_raw_outputs": p.get("persist_raw_outputs", "all"),
+        "persist_evaluator_evidence": bool(p.get("persist_evaluator_evidence", True)),
+    }
+    if out["max_attempts"] < 0 or out["request_timeout_secs"] < 0:
+        raise ValueError("max_attempts and request_timeout_secs are not negative")
+    for key, enum in (("mode", "persistence_mode"), ("persist_raw_outputs", "raw_outputs")):
+        if out[key] not in ENUMS[enum]:
+            raise ValueError(f"unknown {key}: {out[key]}")
+    return out
+
+
+def validate_inputs(profile: str, dataset: str) -> dict[str, Any]:
+    """What a run of these documents would be made of, without planning it; documents that cannot be read raise."""
+    p, d = parse(profile, "profile"), parse(dataset, "dataset")
+    _need(p, "profile_id", "a profile")
+    kind = lambda x: "structured" if isinstance(x, dict | list) else "scalar"
+    return {"data": {"profile": p, "dataset": d}, "meta": {"profile_case_groups": len(p.get("case_groups") or []), "dataset_cases": len((d or {}).get("cases") or []), "sources": {"profile": kind(p), "dataset": kind(d)}}}
+
+
+def result_json(df: DataFrame, **meta: Any) -> DataFrame:
+    """Each row as a {data, meta} JSON line: the sink's text, for any number of rows."""
+    return df.select(F.concat(F.lit('{"data":'), F.to_json(F.struct("*")), F.lit(f',"meta":{canonical(meta)}}}')).alias("line"))
+
+
 def result_lines(df: DataFrame, **meta: Any) -> list[str]:
     """A bounded report as {data, meta} JSON lines (the driver's output, not a bulk sink: more than 1000 rows are an error)."""
-    lines = df.toJSON().take(1001)
+    lines = result_json(df, **meta).take(1001)
     if len(lines) > 1000:
         raise ValueError("a report has at most 1000 rows; write more with export")
-    return [f'{{"data":{line},"meta":{canonical(meta)}}}' for line in lines]
+    return [r.line for r in lines]
 
 
 def export(df: DataFrame, path: str, kind: str = "parquet", by: tuple[str, ...] = ()) -> None:
