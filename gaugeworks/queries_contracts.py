@@ -66,9 +66,9 @@ def q_profile_ids(spark, d):
     return _one(spark, **D.profile_ids(raw), aggregation_policy_hash=C.aggregation_policy_hash(raw))
 
 
-@query("""SELECT * FROM (VALUES ('a', 0, 't', '{"a":2,"b":1.5}', NULL, ['z', 'B']), ('b', 1, 't', '"x"', '{"label":"y"}', [])) AS t (case_id, ordinal, task_type, input, expected, tags)""")
+@query("""SELECT * FROM (VALUES ('a', 0, 't', '{"a":2,"b":1.5}', NULL, 'z,B'), ('b', 1, 't', '"x"', '{"label":"y"}', '')) AS t (case_id, ordinal, task_type, input, expected, tags)""")
 def q_dataset(spark, d):
-    return D.load_dataset(spark, DATASET)[1].select("case_id", "ordinal", "task_type", "input", "expected", "tags")
+    return D.load_dataset(spark, DATASET)[1].select("case_id", "ordinal", "task_type", "input", "expected", F.array_join("tags", ",").alias("tags"))
 
 
 @query("SELECT 1 AS profile_case_groups, 2 AS dataset_cases, 'structured' AS profile_source, 'structured' AS dataset_source")
@@ -90,9 +90,9 @@ def q_content_hash(spark, d):
     return table(spark, d, "events").select("event_id", C.content_hash(F.concat(F.lit('{"z":[3,1],"p":'), F.col("props"), F.lit("}"))).alias("h"))
 
 
-@query("SELECT doc_id, list_sort(['é', lang, source, 'B', 'a', 'B']) AS tags FROM documents")
+@query("SELECT doc_id, array_to_string(list_sort(['é', lang, source, 'B', 'a', 'B']), ',') AS tags FROM documents")
 def q_canonical_tags(spark, d):
-    return table(spark, d, "documents").select("doc_id", C.canonical_tags(F.array(F.lit("é"), "lang", "source", F.lit("B"), F.lit("a"), F.lit("B"))).alias("tags"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(C.canonical_tags(F.array(F.lit("é"), "lang", "source", F.lit("B"), F.lit("a"), F.lit("B"))), ",").alias("tags"))
 
 
 @query("""SELECT doc_id, sha256('{"context":null,"expected_output":{"lang":"' || lang || '"},"input":{"id":' || doc_id || ',"n":' || n_chars || '},"metadata":{},"tags":["' || lang || '","' || source || '"],"task_type":"' || lang || '"}') AS case_hash FROM documents""")
@@ -172,22 +172,22 @@ def q_extract_text(spark, d):
     return table(spark, d, "events").select("event_id", E.evaluated_text(actual, asked).alias("text"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_name END AS description, CASE WHEN p_size % 3 = 0 THEN ['own'] ELSE ['said', p_brand] END AS tags, CASE WHEN p_size % 5 = 0 THEN '{}' ELSE '{\"s\":1}' END AS metadata FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_name END AS description, CASE WHEN p_size % 3 = 0 THEN 'own' ELSE 'said,' || p_brand END AS tags, CASE WHEN p_size % 5 = 0 THEN '{}' ELSE '{\"s\":1}' END AS metadata FROM part")
 def q_metadata_precedence(spark, d):
     p = table(spark, d, "part")
     none = lambda k: F.lit(None).cast(k)
     said = F.when(F.col("p_size") % 2 == 0, F.col("p_type")).otherwise(none("string"))
     tags = F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("said"), "p_brand"))
     meta = F.when(F.col("p_size") % 5 == 0, none("string")).otherwise(F.lit('{"s":1}'))
-    return p.select("p_partkey", P.precedence(said, F.col("p_name"), "text").alias("description"), P.precedence(tags, F.array(F.lit("own")), "tags").alias("tags"), P.precedence(meta, F.lit("{}"), "text").alias("metadata"))
+    return p.select("p_partkey", P.precedence(said, F.col("p_name"), "text").alias("description"), F.array_join(P.precedence(tags, F.array(F.lit("own")), "tags"), ",").alias("tags"), P.precedence(meta, F.lit("{}"), "text").alias("metadata"))
 
 
-@query("""SELECT 'Release.toml' AS manifest, 'from the package' AS description, ['a', 'b'] AS tags, '{"k":1}' AS metadata, 'release.py' AS artifact, 'eval' AS interface, '0.1.0' AS version""")
+@query("""SELECT 'Release.toml' AS manifest, 'from the package' AS description, 'a,b' AS tags, '{"k":1}' AS metadata, 'release.py' AS artifact, 'eval' AS interface, '0.1.0' AS version""")
 def q_manifest(spark, d):
     doc = P.manifest('[package]\nmanifest = "Release.toml"\ntags = ["a", "b"]\n[wit]\npath = "w"\nworld = "x"\npackage = "p"\nversion = "0.1.0"\ninterface = "eval"\nstrict = true\n[profile.release]\nwasm = "release.py"\n')
     meta = P.metadata(doc["package"], {"description": "from the package", "tags": ["z"], "metadata": {"k": 1}})
     interface, version = P.checked_interface(doc, "eval", "0.1.0")
-    return _one(spark, manifest=doc["package"]["manifest"], description=meta["description"], tags=meta["tags"], metadata=meta["metadata"], artifact=P.profile_of(doc, "release")["wasm"], interface=interface, version=version)
+    return _one(spark, manifest=doc["package"]["manifest"], description=meta["description"], tags=",".join(meta["tags"]), metadata=meta["metadata"], artifact=P.profile_of(doc, "release")["wasm"], interface=interface, version=version)
 
 
 @query("SELECT page_id, sha256(html) AS content_hash, strlen(html)::BIGINT AS wasm_size_bytes FROM pages")
@@ -222,11 +222,11 @@ def q_registry_test(spark, d):
     return R.test(reg, "lab/sentiment:1", table(spark, d, "documents").where("text <> ''").select("doc_id", "text"), _shipped).select("doc_id", "evaluator_id", "dimension", "status", "severity", "normalized_score", "reason")
 
 
-@query(f"""WITH {_HITS} SELECT doc_id, (p + n)::BIGINT AS matched_terms, (p - n)::BIGINT AS score, ['sentiment', 'basic', 'english-only', CASE WHEN p > n THEN 'positive' WHEN p < n THEN 'negative' ELSE 'neutral' END] AS tags FROM h""")
+@query(f"""WITH {_HITS} SELECT doc_id, (p + n)::BIGINT AS matched_terms, (p - n)::BIGINT AS score, 'sentiment,basic,english-only,' || CASE WHEN p > n THEN 'positive' WHEN p < n THEN 'negative' ELSE 'neutral' END AS tags FROM h""")
 def q_sentiment_evidence(spark, d):
     f = _shipped(table(spark, d, "documents").where("text <> ''").select("doc_id", "text")).select("doc_id", F.col("results")[0].alias("f"))
     at = lambda name: C.at_path(F.col("f.evidence"), f"$.{name}", "bigint").alias(name)
-    return f.select("doc_id", at("matched_terms"), at("score"), "f.tags")
+    return f.select("doc_id", at("matched_terms"), at("score"), F.array_join("f.tags", ",").alias("tags"))
 
 
 @query("""SELECT doc_id, lang IN ('en', 'de') AND doc_id % 4 <> 1 AND n_chars >= 100 AS fits FROM documents""")
