@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import LOWER, Poly, mixed, pieces, small_batches, table, unwrapped, utf8, word_spans, wrapped, written
+from .common import LOWER, Poly, mixed, pieces, relieved, small_batches, table, unwrapped, utf8, word_spans, wrapped, written
 
 BUCKETS, DIM, HIDDEN, MOST, THRESHOLD = 1 << 14, 24, 24, 3000, 0.3
 _CHUNK, _BLOCKS, _SALTS = 1 << 20, 64, 16  # bytes at a time; parts of the context sums; tasks that add up one of them first
@@ -164,7 +164,7 @@ def random_indexing(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["block", "sums"])
 
     kind = "block int, sums binary"
-    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(scan, "block int, salt int, sums binary")
+    found = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(relieved(scan), "block int, salt int, sums binary")
     some = found.repartition("block", "salt").select("block", "sums").mapInArrow(add, kind)
     rows = some.repartition(8, "block").mapInArrow(add, kind).collect()  # _BLOCKS rows in all
     out = np.zeros((_BLOCKS, width), np.float64)
@@ -238,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
             x = pooled(shared.value, poly, buf, offsets)
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["quality", "x"])
 
-    rows = texts.mapInArrow(run, "quality double, x array<double>").collect()
+    rows = texts.mapInArrow(relieved(run), "quality double, x array<double>").collect()
     shared.destroy()
     rows.sort(key=lambda r: (r.x, r.quality))  # the order of arrival says nothing
     return fit(vectors, np.array([r.x for r in rows]), np.array([r.quality for r in rows], float))
@@ -258,7 +258,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD, own: b
             yield pa.RecordBatch.from_arrays(cols, ["row_", "held_out", "score", "predicted"])
 
     kinds = StructType([f for f in source.schema if f.name != "text_"] + [StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    out = source.mapInArrow(run, kinds)
+    out = source.mapInArrow(relieved(run), kinds)
     return unwrapped(out, "held_out", "score", "predicted") if own else out
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import json
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +59,7 @@ def written(df: DataFrame) -> DataFrame:
         p, files = _path(spark, own)
         files.deleteOnExit(p)
         _begun.add(own)
-    gc.collect()  # frames in reference cycles hold plans, and their broadcasts, in the driver's JVM
+    relieve()  # frames in reference cycles hold plans, and their broadcasts, in the driver's JVM
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -95,19 +100,28 @@ def hot_limit(df: DataFrame) -> int:
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
-    """left.join(right, key, how) where a key may hold a third of the left rows and is at most once on the right: the rows of hot keys meet a broadcast, the others are shuffled.
+    """left.join(right, key, how), inner or left, where a key may hold a third of the left rows and is at most once on the right.
 
-    hot: the keys of more than hot_limit(left) rows, where the caller has counted them already.
+    The rows of hot keys meet a broadcast; in the shuffle for the others they, and rows with a null key, are spread
+    by their content and meet nothing. hot: the keys of more than hot_limit(left) rows, where the caller has counted them.
     """
     keys = [key] if isinstance(key, str) else key
     if hot is None:
         hot = left.groupBy(*keys).agg(F.count("*").alias("rows_")).where(F.col("rows_") > hot_limit(left))
     hot = written(hot.select(*keys))
-    if hot.isEmpty():
+    more = [c for c in right.columns if c not in keys]
+    if hot.isEmpty() and how == "inner":
         return left.join(right, keys, how)
-    hot = F.broadcast(hot)
-    few = right.join(hot, keys, "left_semi")
-    return left.join(hot, keys, "left_semi").join(F.broadcast(few), keys, how).unionByName(left.join(hot, keys, "left_anti").join(right, keys, how))
+    value = F.struct(F.lit(True).alias("met_"), *more)
+    few = F.broadcast(right.join(F.broadcast(hot), keys, "left_semi").select(*keys, value.alias("hot_")))
+    cold = F.col("hot_").isNull() & reduce(and_, [F.col(k).isNotNull() for k in keys])
+    spread = F.when(cold, 0).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(1 << 30)))
+    rest = right.select(*keys, value.alias("cold_"), F.lit(0).cast("long").alias("spread_"))
+    out = left.join(few, keys, "left").withColumn("spread_", spread.cast("long")).join(rest, [*keys, "spread_"], "left")
+    out = out.withColumn("hot_", F.coalesce("hot_", "cold_"))
+    if how == "inner":
+        out = out.where("hot_ is not null")
+    return out.select(*left.columns, *[F.col("hot_")[c].alias(c) for c in more])
 
 
 def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -142,6 +156,26 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
 
 
+def relieve() -> None:
+    """Give freed memory back to the system: a Python worker that waits for its next task holds none of the last one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def relieved(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """The same function of a task's batches, with `relieve` at the end."""
+
+    def inner(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            relieve()
+
+    return inner
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

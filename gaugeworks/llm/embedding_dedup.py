@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, join_hot, local_rows, table, written
+from .common import broadcast_if_small, join_hot, local_rows, relieved, table, written
 from .graph import components
 
 COSINE, BLOCK, CENTRES, LEAF = 0.9, 8192, 128, 32
@@ -257,7 +257,7 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOC
                     cell[at] = np.argmax(u @ coarse[w].T, axis=1)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("p", "m", "v", "width")] + [pa.array(cell)], ["p", "m", "v", "width", "cell"])
 
-    points_in = written(points.select("p", "m", "v", "width").mapInArrow(nearest, "p long, m long, v array<double>, width long, cell long"))
+    points_in = written(points.select("p", "m", "v", "width").mapInArrow(relieved(nearest), "p long, m long, v array<double>, width long, cell long"))
     sizes = points_in.groupBy("width", "cell").count().collect()  # at most `centres` rows a length
     rows, base = [], 0
     for r in sorted(sizes):
@@ -321,7 +321,7 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE, block: int = BLOC
     limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row holds two blocks
     try:
-        found = written(tasks.select("a", "b", "ta", "tb").mapInArrow(links, "p long, n long, up long"))
+        found = written(tasks.select("a", "b", "ta", "tb").mapInArrow(relieved(links), "p long, n long, up long"))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
     comp = components(found.select(F.col("p").alias("a"), F.col("up").alias("b")))

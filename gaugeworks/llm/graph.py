@@ -58,12 +58,12 @@ def forest(edges: DataFrame) -> DataFrame:
 
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """edges (a, b) with m, the least b of their a."""
+    """edges (a, b) with m, the least b of their a. Edges of hot nodes are spread by their other end and meet a broadcast."""
     low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
     hot = low.where(F.col("c") > max(64, total // 2500)).select("a", F.col("m").alias("mh"))
     marked = edges.join(F.broadcast(hot), "a", "left")
-    cold = marked.where("mh is null").select("a", "b").join(low.select("a", "m"), "a")
-    return marked.where("mh is not null").select("a", "b", F.col("mh").alias("m")).union(cold.select("a", "b", "m"))
+    marked = marked.select("a", "b", "mh", F.when(F.col("mh").isNull(), F.col("a")).otherwise(F.col("b")).alias("k"), F.col("mh").isNull().alias("cold"))
+    return marked.join(low.select(F.col("a").alias("k"), F.lit(True).alias("cold"), "m"), ["k", "cold"], "left").select("a", "b", F.coalesce("mh", "m").alias("m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -72,10 +72,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.union(e.select("b", "a"))
         total = 2 * e.count()
-        large = _with_least(both, total).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        large = written(_with_least(both, total).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
         small = _with_least(large, total).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         new = written(small)
-        dropped(e)
+        dropped(e, large)
         # a forest of stars: no node is both a root and a leaf, and no leaf has two edges
         sides = new.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("root")), F.struct(F.col("b").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("root")))))
         if sides.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("root").alias("root")).where("leaf > 1 or (leaf > 0 and root > 0)").isEmpty():

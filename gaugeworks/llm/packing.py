@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, Poly, pieces, small_batches, table, utf8
+from .common import IS_SPACE, LOWER, Poly, pieces, relieved, small_batches, table, utf8
 
 LENGTH, END_ID, WINDOW = 4096, 2, 256
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
@@ -224,7 +224,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, window:
             yield flush()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(relieved(run), schema)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Poly, broadcast_if_small, dropped, hot_limit, join_hot, mixed, pieces, small_batches, table, utf8, written
+from .common import Poly, broadcast_if_small, dropped, hot_limit, join_hot, mixed, pieces, relieved, small_batches, table, utf8, written
 
 LENGTH, GRAM, HOT, BATCH = 200, 32, 4096, 4000
 _BYTES, _SEGMENT, _PLACE = 1 << 20, 1 << 26, np.uint64(28)  # a segment's places fit in _PLACE bits
@@ -211,7 +211,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
                     cols = [mh.view(np.int64), sh[:, 0], sh[:, 1], rid[a + d], rid2[a + d], (s + start).astype(np.int32), n.astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["mh", "sh", "sh2", *_RID, "s", "n"])
 
-    found = written(docs.where(F.octet_length("text") >= length).mapInArrow(scan, "mh long, sh long, sh2 long, rid long, rid2 long, s int, n int"))
+    found = written(docs.where(F.octet_length("text") >= length).mapInArrow(relieved(scan), "mh long, sh long, sh2 long, rid long, rid2 long, s int, n int"))
     span = F.struct("sh", "sh2")
     several = found.groupBy("mh").agg(F.count("*").alias("c"), F.min(span).alias("lo"), F.max(span).alias("hi")).where("c > 1")
     several = written(several.select("mh", "c", (F.col("lo") == F.col("hi")).alias("pure")))
@@ -264,7 +264,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             yield from done(pa.Table.from_batches(held))
 
     calm = with_text.where(F.col("members") <= hot).repartition("mh").sortWithinPartitions("mh", *_RID, "s").drop("members")
-    parts = [plain, again, calm.mapInArrow(suffixes, "rid long, rid2 long, s int, e int")]
+    parts = [plain, again, calm.mapInArrow(relieved(suffixes), "rid long, rid2 long, s int, e int")]
 
     if not (crowd := with_text.where(F.col("members") > hot)).isEmpty():
 
@@ -278,7 +278,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
                 h = digests(buf, at, at + length)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[:, 0], h[:, 1], rid[of], rid2[of], (s[of] + _spans(n)).astype(np.int32), once[of])], ["h1", "h2", *_RID, "s", "once"])
 
-        every = crowd.mapInArrow(windows, "h1 long, h2 long, rid long, rid2 long, s int, once boolean")
+        every = crowd.mapInArrow(relieved(windows), "h1 long, h2 long, rid long, rid2 long, s int, once boolean")
         twice = every.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
         parts.append(every.where("once").join(twice, ["h1", "h2"]).select(*_RID, "s", (F.col("s") + length).alias("e")))
 
@@ -324,7 +324,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, with_t
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return joined.mapInArrow(relieved(cut), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
