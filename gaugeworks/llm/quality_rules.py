@@ -15,53 +15,81 @@ A document that is not kept has its cleaned text too. Repeated rows and ids each
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, table, words_of
+from .common import SPACES, WORD, table
 
 SYMBOLS = "#*$%&|<>"
-BOILERPLATE = (
-    "all rights reserved|terms of (use|service)|privacy policy|cookie policy|accept cookies|enable javascript"
-    "|click here|subscribe to|sign in to|log in to|skip to content|back to top|share this"
+PHRASES = (
+    *("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript"),
+    *("click here", "subscribe to", "sign in to", "log in to", "skip to content", "back to top", "share this"),
 )
+BOILERPLATE = "|".join(PHRASES)
 WINDOW, MIN_WORDS, MAX_REPEAT, MAX_LOST, RUN_ON = 8, 20, 30, 50, 40
 
 
+def _without(text: Column, chars: str) -> Column:
+    """Searches for bytes, one a character: far cheaper than a pattern or a translation of every character."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), chars, text)
+
+
 def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.length(text) - F.length(_without(text, chars))
+
+
+def _words(text: Column) -> Column:
+    flat = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), SPACES[1:], text)
+    return F.filter(F.split(flat, " ", -1), lambda w: w != "")
+
+
+def marks(text: Column) -> Column:
+    """What of the rules' marks a text has at all: most texts have none, and their lines need no look."""
+    low = F.lower(text)
+    return F.struct(
+        reduce(or_, [text.contains(c) for c in SYMBOLS + "!"]).alias("symbols"),
+        text.contains(" | ").alias("bars"),
+        reduce(or_, [low.contains(p) for p in PHRASES]).alias("phrases"),
+    )
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, has: Column) -> Column:
+    """has: `marks` of the whole text. The cheap conditions come first and decide for most lines."""
     words = F.regexp_count(line, F.lit(WORD))
     bars = F.regexp_count(line, F.lit(r" \|(?= )"))
     return (
-        (2 * _count(line, SYMBOLS + "!") > words)
-        | ((bars >= 2) & (3 * bars >= words))
-        | ((words > RUN_ON) & (_count(line, ".!?,;:") == 0))
-        | F.lower(line).rlike(BOILERPLATE)
+        (has.symbols & (2 * _count(line, SYMBOLS + "!") > words))
+        | (has.bars & (bars >= 2) & (3 * bars >= words))
+        | ((F.length(line) > 2 * RUN_ON) & ~line.rlike("[.!?,;:]") & (words > RUN_ON))
+        | (has.phrases & F.lower(line).rlike(BOILERPLATE))
     )
 
 
 def _chars(text: Column) -> Column:
-    return F.length(F.translate(text, SPACES, ""))
+    return F.length(_without(text, SPACES))
 
 
-def cleaned(text: Column) -> Column:
+def cleaned(text: Column, has: Column) -> Column:
     """The lines that pass."""
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~line_fails(x)), "\n")
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~line_fails(x, has)), "\n")
+
+
+def _windows(hashes: Column) -> Column:
+    """Hashes of all runs of 8 (WINDOW) word hashes: of two, of two twos, of two fours."""
+    joined = lambda h, step: F.zip_with(h, F.slice(h, F.lit(step + 1), F.size(h)), lambda a, b: F.xxhash64(a, b))
+    return F.slice(joined(joined(joined(hashes, 1), 2), 4), F.lit(1), F.size(hashes) - (WINDOW - 1))
 
 
 def quality_rules(docs: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
     """Counts and verdict of each document, and its cleaned text."""
     text = F.coalesce("text", F.lit(""))
-    a = docs.select("doc_id", text.alias("text"), cleaned(F.col("text")).alias("cleaned"), words_of(F.col("text")).alias("w"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("l"))
+    a = docs.select("doc_id", text.alias("text"), F.col("text").isNull().alias("none"), _words(text).alias("w"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("l"), marks(text).alias("has"))
     n = F.size("w").cast("long")
-    a = a.select(
-        "*",
-        n.alias("n_words"),
-        F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("w", i, WINDOW)))).alias("h"),
-    )
+    a = a.select("doc_id", "text", "none", "l", n.alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"), cleaned(F.col("text"), F.col("has")).alias("cleaned"))
+    a = a.select("*", F.when(F.size("w") >= WINDOW, _windows(F.col("w"))).alias("h"))
     repeats = F.size(F.array_distinct("h")) < F.size("h")
     a = a.select("*", F.when(repeats, F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("s"))
     same = F.zip_with(
@@ -72,7 +100,7 @@ def quality_rules(docs: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
     a = a.select("*", F.when(F.col("s").isNotNull(), F.sort_array(F.array_distinct(F.flatten(same)))).alias("p"))
     steps = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda x, y: F.least(y - x, F.lit(WINDOW)).cast("long"))
     covered = F.when(F.col("p").isNotNull(), F.aggregate(steps, F.lit(WINDOW).cast("long"), lambda x, y: x + y)).otherwise(F.lit(0).cast("long"))
-    lost = _chars(F.col("text")) - F.coalesce(_chars(F.col("cleaned")), F.lit(0))
+    lost = F.when(F.col("cleaned") == F.col("text"), 0).otherwise(_chars(F.col("text")) - _chars(F.col("cleaned")))
     a = a.select(
         "doc_id",
         "n_words",
@@ -81,7 +109,7 @@ def quality_rules(docs: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         lost.cast("long").alias("lost_chars"),
-        F.col("cleaned").alias("text"),
+        F.when(~F.col("none"), F.col("cleaned")).alias("text"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     a = a.select("*", failed.alias("base_failed"))
