@@ -150,9 +150,10 @@ def running(df: DataFrame, order: list[str], **sums: Column) -> DataFrame:
     return inside.join(F.broadcast(starts), "range_").select(*df.columns, *[(F.col(f"{k}_in") + F.col(f"{k}_")).alias(k) for k in sums])
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches that reach Python: documents may be very long."""
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
+    """Bound the Arrow batches that reach Python, by rows and by bytes: documents may be very long. The session keeps these bounds, since plans run later; they change no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
 
 

@@ -124,6 +124,70 @@ def test_url_rules(spark):
     assert url_rules.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def pages(n=240, seed=3):
+    r = random.Random(seed)
+    host = lambda: ".".join([*r.sample(["www", "m", "shop", "blog"], r.randint(0, 2)), r.choice(["example", "b", "c"]), r.choice(["com", "net", "org"])])
+    path = lambda: "/" + "/".join(r.choices(["en", "es", "fr", "item", "list", "17", "2024"], k=r.randint(0, 3)))
+    return [(i, f"http://{host()}{path()}" + (f"?{r.choice(['q', 'id', 'page'])}={i}" if r.random() < 0.4 else "")) for i in range(n)] + [(n, None), (n + 1, "none"), (0, "http://example.org/en")]
+
+
+@pytest.mark.parametrize(("support", "confidence", "lift"), [(0.05, 0.6, 1.05), (0.02, 0.9, 1.2), (0.3, 0.5, 1.0)])
+def test_url_rules_mined(spark, support, confidence, lift):
+    """Verdicts against rules mined by trying every set of tokens."""
+    from itertools import combinations
+    from math import ceil
+
+    from pyspark.sql import functions as F
+
+    rows = pages()
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    host, path = url_rules.url_host_path(F.col("url"))
+    items = {(r.page_id, r.url): frozenset(r.t) for r in df.select("*", url_rules.url_tokens(F.col("url"), host, path).alias("t")).collect()}
+    out = {(r.page_id, r.host, r.path): r for r in url_rules.filter_urls(df, min_support=support, min_confidence=confidence, min_lift=lift).collect()}
+    got = {}
+    for i, u in rows:
+        m = re.match(r".*?://([^/?#]*)([^?#]*)", u or "")
+        got[i, u] = out[i, m[1].lower() if m else "", m[2] if m else ""]
+    known = [(items[k], r.verdict) for k, r in got.items() if r.rule is not None]
+    n, count, labels = len(known), {}, {v: sum(y == v for _, y in known) for v in ("allow", "block")}
+    for t, y in known:
+        for k in range(1, len(t) + 1):
+            for c in combinations(sorted(t), k):
+                count.setdefault(c, {"allow": 0, "block": 0})[y] += 1
+    rules = []
+    for c, by in count.items():
+        for y, hits in by.items():
+            conf = hits / sum(by.values())
+            if hits >= ceil(support * n) and conf >= confidence and conf / (labels[y] / n) > lift:
+                rules.append((frozenset(c), conf, hits / n, y))
+    for k, r in got.items():
+        if r.rule is None:
+            fired = [x for x in rules if x[0] <= items[k]]
+            assert r.n_mined == len(fired)
+            best = {x[3] for x in fired if (round(x[1], 9), round(x[2], 9)) == max((round(y[1], 9), round(y[2], 9)) for y in fired)}
+            assert r.verdict == ("allow" if not fired else "block" if "block" in best else "allow")
+        else:
+            assert r.n_mined == 0
+
+
+def test_url_rules_precision(spark):
+    """Mined from half of the pages that the explicit rules decide, they decide the other half alike."""
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    out = url_rules.filter_urls(df).where("rule is not null").select("page_id", F.col("verdict").alias("true")).join(df, "page_id")
+    half = out.withColumn("known", F.crc32(F.col("page_id").cast("string").cast("binary")) % 2 == 0)
+    host, path = url_rules.url_host_path(F.col("url"))
+    half = half.select("known", "true", url_rules.url_tokens(F.col("url"), host, path).alias("items"))
+    mined = url_rules.mine_rules(half.where("known").select("items", F.col("true").alias("verdict")), 0.01, 0.9, 1.05).collect()
+    right = wrong = 0
+    for r in half.where("not known").collect():
+        fired = [(m.confidence, m.support, m.verdict) for m in mined if set(m.antecedent) <= set(r["items"])]
+        if fired:
+            right, wrong = right + (max(fired)[2] == r.true), wrong + (max(fired)[2] != r.true)
+    assert right > 100 and right / (right + wrong) > 0.95, (right, wrong)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a<|im_end|>\nb"), (1, 1, "assistant", "<\\|x|> <|"), (1, 1, "assistant", "<\\|x|> <|"), (2, None, None, None), (None, 3, "we\nird\\n", "t")]
     out = {r.conv_id: r for r in chat.digests(spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn int, role string, text string, loss int")).collect()}
@@ -311,6 +375,40 @@ def test_classifier(spark, docs, none):
     assert classifier.classify(none, classifier.train(none, labels.limit(0))).count() == 0
 
 
+def test_classifier_held_out(spark):
+    """Ranking and decisions on the labelled rows that training never saw."""
+    d = "/root/testdata/sf0.1"
+    rows = classifier.op8_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
+    good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
+    auc = np.mean([[(g > b) + 0.5 * (g == b) for b in bad] for g in good])
+    assert len(bad) > 30 and auc > 0.98 and np.mean([r.predicted == r.quality for r in rows]) > 0.95
+    assert np.mean([r.predicted for r in rows if r.quality == 1]) > 0.99
+
+
+def test_classifier_vectors_cover_all_documents(spark):
+    """The context sums of the distributed pass are those of a plain loop over every document."""
+    from gaugeworks.llm.common import Poly
+
+    texts = [t or "" for _, t, *_ in corpus()]
+    places, signs = classifier.index_places()
+    index = classifier.index_vectors()
+    want = np.zeros((2, classifier.BUCKETS, classifier.DIM))
+    for t in texts:
+        buf = np.frombuffer(t.encode(), np.uint8)
+        _, w, h = classifier.tokens(Poly(21), buf, np.array([0, len(buf)]))
+        streams = [classifier.buckets(w), classifier.buckets(h)]
+        for s in range(2):
+            for i, own in enumerate(streams[s]):
+                want[s, own] += index[1 - s][streams[1 - s][i]]
+                for j in (i - 2, i - 1, i + 1, i + 2):
+                    if 0 <= j < len(streams[s]):
+                        want[s, own] += index[s][streams[s][j]]
+    got = classifier.random_indexing(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    norm = np.linalg.norm(want, axis=2, keepdims=True)
+    own = index / np.maximum(np.linalg.norm(index, axis=2, keepdims=True), 1)
+    assert np.allclose(got, np.where(norm > 0, want / np.maximum(norm, 1e-9) + own, own), atol=1e-5)
+
+
 def test_pii(spark, none):
     text = "Mrs. Anna Smith, A.b@X.com and a.b@x.com, (212) 555-1234 or 212-555-1234, 4111 1111 1111 1111, 10.1.2.3, password=abc123def"
     rows = [(1, text, 0), (2, "again 212-555-1234.", 0), (3, None, 0), (4, "", 0), (5, "clean text, version 4.0 of 1234 things", 0), (1, text, 0)]
@@ -491,6 +589,45 @@ def test_pipeline_near_duplicates(spark):
         assert sum(x in g and x[:2] == min(g)[:2] for x in got) == 1 if g[0][2] else got.count(g[0]) == 1
 
 
+def test_ngram_join_common_passage(spark, monkeypatch):
+    """A passage in every document that is too little for a link makes no work: its lists are long, but no groups, and so no texts, are compared."""
+    r = random.Random(4)
+    fresh = lambda n: ["".join(r.choices("abcdefghij", k=7)) for _ in range(n)]
+    passage, seen = fresh(100), []
+    plain = ngram_join.blocks_of
+    monkeypatch.setattr(ngram_join, "blocks_of", lambda e, *a: seen.append((e.select("key").distinct().count(), plain(e, *a).count())) or plain(e, *a))
+    for n in (60, 240):
+        rows = [(i, " ".join([*passage, *fresh(14)])) for i in range(n)]
+        out = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+        assert all(x.doc_id == x.component_id for x in out) and len(out) == n
+    assert [k for k, _ in seen] == [60, 240] and all(m == 0 for _, m in seen)
+
+
+def test_ngram_join_links_in_long_lists(spark, monkeypatch):
+    """Documents that meet only in lists that hundreds share, some linked, some a little too far."""
+    monkeypatch.setattr(ngram_join, "FEW", 4)
+    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    r = random.Random(7)
+    fresh = lambda n: ["".join(r.choices("abcdefghij", k=7)) for _ in range(n)]
+    passage = fresh(70)
+    texts = [[*passage[: r.randint(50, 70)], *fresh(r.choice([1, 4, 8, 12]))] for _ in range(150)]
+    texts += [[*fresh(r.randint(1, 9)), *passage[r.randint(0, 12) :]] for _ in range(50)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    comp = list(range(len(sets)))
+    near = [[j for j, b in enumerate(sets) if 100 * len(a & b) >= 80 * len(a | b)] for a in sets]
+    for _ in range(12):
+        comp = [min(comp[j] for j in near[i]) for i in range(len(sets))]
+    out = {x.doc_id: x.component_id for x in ngram_join.similar_documents(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(len(sets))] == comp and len(set(comp)) > 10
+
+
+def test_heap_merge():
+    r = random.Random(3)
+    lists = [sorted(r.sample(range(40), r.randint(1, 30))) for _ in range(12)]
+    assert list(ngram_join.merged(lists)) == [(x, sum(x in k for k in lists)) for x in range(40) if any(x in k for k in lists)]
+    assert list(ngram_join.merged([])) == []
+
+
 def test_t_occurrence():
     r = np.random.default_rng(6)
     sets = [np.unique(r.integers(0, 60, 40).astype(np.uint64)) for _ in range(80)]
@@ -500,6 +637,83 @@ def test_t_occurrence():
         assert ngram_join.t_occurrence(q, index, sizes).tolist() == want
 
 
+def awkward():
+    """Good and bad prose, nulls, empties, repeated rows and ids, near copies, personal data, a very long text."""
+    r = random.Random(12)
+    vocab = ["".join(r.choices("abcdefghij", k=r.randint(2, 7))) for _ in range(300)]
+    prose = lambda k: " ".join(r.choices(vocab, k=k)) + "."
+    rows = [(i, prose(60), "s1") for i in range(20)] + [(100 + i, " ".join(w + "$$$" for w in prose(60).split()), "s2") for i in range(20)]
+    rows += [(200, rows[3][1] + " one more", "s2"), (201, rows[3][1], None), (5, rows[5][1], "s1"), (5, prose(50), "s1"), (None, prose(40), "s3"), (None, None, None), (300, None, "s1"), (301, "", "s1"), (302, " \n\t", "s2")]
+    rows += [(400, prose(30) + " call 212-555-1234 or a.b@example.com " + prose(30), "s3"), (401, prose(20_000), "s3")]
+    labels = [(i, 1, 0) for i in range(20)] + [(100 + i, 0, 0) for i in range(20)]
+    return [(i, t, s, len(t or ""), f"x{k}") for k, (i, t, s) in enumerate(rows)], labels
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage against a plain version of what it decides, then all of them against one another."""
+    import corpus_pipeline
+
+    rows, labels = awkward()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, score string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d = str(tmp_path)
+
+    model = classifier.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    from gaugeworks.llm.common import Poly
+
+    def good(t):
+        buf = np.frombuffer((t or "").encode(), np.uint8)
+        return classifier.score(model, classifier.pooled(model.vectors, Poly(21), buf, np.array([0, len(buf)])))[0] >= classifier.THRESHOLD
+
+    kept = corpus_pipeline.quality(spark, docs, d)
+    one = sorted(map(str, map(tuple, kept.collect())))
+    assert one == sorted(str(r) for r in rows if good(r[1])) and all(str(r) in one for r in rows[:20])
+    assert not any(f"({100 + i}," in x for i in range(20) for x in one)
+
+    apart = [r for r in corpus_pipeline.near_duplicates(spark, kept, d).collect()]
+    texts = [r.text for r in apart]
+    assert len(texts) == len(set(texts)) + max(0, sum(not (t or "").strip() for t in texts) - len({t for t in texts if not (t or "").strip()}))
+    assert {3} == {r.doc_id for r in apart if r.text and r.text.startswith(rows[3][1][:100])}
+    gone = {str(r) for r in rows if good(r[1])} - {str(tuple(r)) for r in apart}
+    assert all("200," in x or "201," in x or "(5," in x for x in gone)
+
+    private = corpus_pipeline.surrogates(spark, kept, d).collect()
+    old = {r.score: r for r in kept.collect()}
+    for r in private:
+        if r.doc_id == 400:
+            assert "555-1234" not in r.text and "a.b@" not in r.text and r.text.split()[:20] == old[r.score].text.split()[:20] and r.n_chars == len(r.text)
+        else:
+            assert tuple(r)[:3] == tuple(old[r.score])[:3]
+
+    size = lambda t: len(WORD.findall(t or ""))
+    plan = mixing.mix_sources(kept).collect()
+    mixed = corpus_pipeline.mixture(spark, kept, d).collect()
+    assert {(r.score, size(r.text)) for r in mixed} == {(p.score, c.words) for p in plan for c in p.copies}
+    assert all(old[r.score].text.startswith(r.text) and r.n_chars == len(r.text) for r in mixed)
+    assert sum(size(r.text) for r in mixed) == sum(p.taken for p in plan)
+
+    whole = corpus_pipeline.run(spark, d)
+    step = docs
+    for _, stage in corpus_pipeline.STAGES:
+        step = stage(spark, step, d)
+    of = lambda df: sorted((str(r.doc_id), r.start, r.length, r.ids_crc32) for r in df.collect())
+    assert {x[0] for x in of(whole)} == {x[0] for x in of(step)}
+    seqs = {}
+    for r in whole.collect():
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sorted(o for o, _ in s) == list(np.cumsum([0] + [n for _, n in sorted(s)])[:-1]) for s in seqs.values())
+
+
+def test_pipeline_empty(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, source string, lang string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
