@@ -99,7 +99,7 @@ def pooled(vectors: np.ndarray, poly: Poly, buf: np.ndarray, offsets: np.ndarray
     """One row of features a document."""
     n = len(offsets) - 1
     out = np.zeros((n, 2 * DIM + 2), np.float64)
-    for a, b in pieces(offsets, _CHUNK):
+    for a, b in pieces(offsets, _CHUNK // 4):
         lo = offsets[a]
         doc, words, shapes = tokens(poly, buf[lo : offsets[b]], offsets[a : b + 1] - lo)
         if not len(doc):

@@ -147,8 +147,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
     own=False keeps the rows wrapped (row_), for callers that need the input's columns as they are.
     """
-    # words are counted once; th tells rows of one id apart by their text
-    sized = written(wrapped(docs, keep, size=n_words(docs["text"]), skey=_key(docs["source"]), th=F.xxhash64(docs["doc_id"], docs["text"])))
+    # th tells rows of one id apart by their text
+    sized = wrapped(docs, keep, size=n_words(docs["text"]), skey=_key(docs["source"]), th=F.xxhash64(docs["doc_id"], docs["text"]))
+    if keep and "text" not in keep:  # without the texts, a small table
+        sized = written(sized)
     targets = written(source_targets(sized, weights, most))
     n, words = targets.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
     if shards is None:  # a power of two, so that a shard has at most about SHARD_WORDS words

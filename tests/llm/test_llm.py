@@ -202,6 +202,31 @@ def test_chat(spark):
         chat.parse("{{ a.__class__() }}")
 
 
+def test_words_are_counted(spark):
+    from gaugeworks.llm.common import n_words
+
+    r = random.Random(1)
+    texts = [None, "", " ", "\x01", " \x01 ", "a", " a", "a \n\tb\x0b\x0c\r c ", "\u00a0x\u2003y z"] + ["".join(r.choices("ab \n\t\x01é😀\x1f", k=r.randint(1, 40))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    assert {x.i: x.n for x in rows.select("i", n_words(rows["text"]).alias("n")).collect()} == {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
+
+
+def test_join_hot(spark):
+    """The same rows as a plain join, with hot, null, missing and rare keys; the rows of a hot key do not meet in one task."""
+    from pyspark.sql import functions as F
+
+    from gaugeworks.llm.common import join_hot
+
+    rows = [(7 if i % 2 else None if i % 5 == 0 else i % 300, i) for i in range(4000)]
+    left = spark.createDataFrame(rows, "k int, v int")
+    right = spark.createDataFrame([(k, f"r{k}", [k]) for k in range(0, 250)], "k int, name string, a array<int>")
+    for how in ("inner", "left"):
+        got, want = (sorted(map(str, df.select("k", "v", "name", "a").collect())) for df in (join_hot(left, right, "k", how), left.join(right, "k", how)))
+        assert got == want
+    tasks = join_hot(left.hint("merge"), right, "k", "left").where("k = 7").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1
+
+
 def test_mixing(docs, none):
     rows = mixing.mix_sources(docs, block_words=500).collect()
     size = lambda t: len(WORD.findall(t or ""))
@@ -542,7 +567,7 @@ def test_ngram_join(docs, none, few, monkeypatch):
     for _ in rows:
         comp = [min([comp[i]] + [comp[j] for j in range(len(rows)) if link(sets[i], sets[j]) or rows[i][0] == rows[j][0]]) for i in range(len(rows))]
     want = sorted((r[0], len(s), c) for r, s, c in zip(rows, sets, comp, strict=True))
-    got = ngram_join.similar_documents(docs).select("doc_id", "n_shingles", "component_id")
+    got = ngram_join.similar_documents(docs, salt=few).select("doc_id", "n_shingles", "component_id")
     assert sorted(map(tuple, got.collect())) == want
     assert ngram_join.similar_documents(none).count() == 0
 
