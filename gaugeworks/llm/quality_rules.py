@@ -72,9 +72,10 @@ def _chars(text: Column) -> Column:
     return F.length(_without(text, SPACES))
 
 
-def cleaned(text: Column, has: Column) -> Column:
-    """The lines that pass."""
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~line_fails(x, has)), "\n")
+def cleaned(text: Column) -> Column:
+    """The lines that pass. The text's marks are bound by an outer lambda: the optimizer would look for them once a line."""
+    passing = lambda y: F.array_join(F.filter(F.split(y.text, "\n", -1), lambda x: ~line_fails(x, y.has)), "\n")
+    return F.transform(F.array(F.struct(text.alias("text"), marks(text).alias("has"))), passing)[0]
 
 
 def _windows(hashes: Column) -> Column:
@@ -86,9 +87,9 @@ def _windows(hashes: Column) -> Column:
 def quality_rules(docs: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
     """Counts and verdict of each document, and its cleaned text."""
     text = F.coalesce("text", F.lit(""))
-    a = docs.select("doc_id", text.alias("text"), F.col("text").isNull().alias("none"), _words(text).alias("w"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("l"), marks(text).alias("has"))
+    a = docs.select("doc_id", text.alias("text"), F.col("text").isNull().alias("none"), _words(text).alias("w"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("l"))
     n = F.size("w").cast("long")
-    a = a.select("doc_id", "text", "none", "l", n.alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"), cleaned(F.col("text"), F.col("has")).alias("cleaned"))
+    a = a.select("doc_id", "text", "none", "l", n.alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"), cleaned(F.col("text")).alias("cleaned"))
     a = a.select("*", F.when(F.size("w") >= WINDOW, _windows(F.col("w"))).alias("h"))
     repeats = F.size(F.array_distinct("h")) < F.size("h")
     a = a.select("*", F.when(repeats, F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("s"))
