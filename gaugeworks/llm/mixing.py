@@ -147,10 +147,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
     own=False keeps the rows wrapped (row_), for callers that need the input's columns as they are.
     """
-    # th tells rows of one id apart by their text
-    sized = wrapped(docs, keep, size=n_words(docs["text"]), skey=_key(docs["source"]), th=F.xxhash64(docs["doc_id"], docs["text"]))
-    if keep and "text" not in keep:  # without the texts, a small table
-        sized = written(sized)
+    # words are counted once, in a table without texts; a row is known by its source and two hashes of its id and text
+    same = {"skey": _key(docs["source"]), "th": F.xxhash64(docs["doc_id"], docs["text"]), "th2": F.xxhash64(F.lit(23), docs["text"], docs["doc_id"])}
+    rides = keep is not None and "text" not in keep
+    size = n_words(docs["text"]).alias("size")
+    sized = written(wrapped(docs, keep, **same, size=size) if rides else docs.select(*[c.alias(n) for n, c in same.items()], size))
     targets = written(source_targets(sized, weights, most))
     n, words = targets.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
     if shards is None:  # a power of two, so that a shard has at most about SHARD_WORDS words
@@ -186,13 +187,28 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     # within a block, documents in hashed order; a block has about block_words words, or is one document
     toss = F.xxhash64(F.lit(seed + 3), "th")
     last = Window.partitionBy("skey", "block").orderBy("toss", "th").rowsBetween(Window.unboundedPreceding, -1)
-    took = dealt.select("row_", "skey", "block", "size", "th", "source_size", "target", "passes", toss.alias("toss"))
+    took = dealt.select(*sized.columns, "block", "source_size", "target", "passes", toss.alias("toss"))
     took = took.withColumn("before", F.coalesce(F.sum("size").over(last), F.lit(0))).join(blocks, ["skey", "block"])
     took = took.withColumn("rest", F.greatest(F.lit(0), F.least("size", F.col("part") - F.col("before"))))
     words = F.transform(F.coalesce("shards", F.array().cast("array<int>")), lambda s, c: F.struct(s.alias("shard"), F.when(c < F.col("passes"), F.col("size")).otherwise(F.col("rest")).alias("words"), F.xxhash64(F.lit(seed + 4), s, c, "th").alias("place")))
     copies = F.filter(words, lambda x: x.words > 0).cast(_COPIES)
-    took = took.select("row_", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("rest")).cast("long").alias("taken"), copies.alias("copies"))
-    return unwrapped(took, "size", "source_size", "target", "taken", "copies") if own else took
+    mine = ("size", "source_size", "target", "taken", "copies")
+    took = took.select(*[c for c in sized.columns if c != "size"], "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("rest")).cast("long").alias("taken"), copies.alias("copies"))
+    if not rides:
+        took = _with_rows(wrapped(docs, keep, **same), took, list(same), mine)
+    return unwrapped(took, *mine) if own else took.select("row_", *mine)
+
+
+def _with_rows(rows: DataFrame, took: DataFrame, key: list[str], mine: tuple[str, ...]) -> DataFrame:
+    """Each row with what was taken of it. Rows of equal id, text and source share a list, from which each takes its own; only these are numbered."""
+    each = written(took.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("taken", *[c for c in mine if c != "taken"]))).alias("each")))
+    one, many = each.where(F.size("each") == 1), each.where(F.size("each") > 1)
+    out = rows.join(broadcast_if_small(one, 50_000), key).select("row_", F.col("each")[0].alias("x"))
+    if not many.isEmpty():
+        number = F.row_number().over(Window.partitionBy(*key).orderBy("th"))
+        again = rows.join(broadcast_if_small(many, 50_000, F.size("each")), key).withColumn("nth", number)
+        out = out.union(again.select("row_", F.element_at("each", F.col("nth")).alias("x")))
+    return out.select("row_", *[F.col("x")[c].alias(c) for c in mine])
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:

@@ -241,6 +241,8 @@ def test_mixing(docs, none):
     again = mixing.mix_sources(docs, block_words=500).collect()
     assert sorted((r.doc_id, r.taken, str(r.copies)) for r in rows) == sorted((r.doc_id, r.taken, str(r.copies)) for r in again)
     assert sum(size(r.text) for r in mixing.mix_documents(docs, block_words=500).collect()) == sum(r.taken for r in rows)
+    light = mixing.mix_sources(docs, block_words=500, keep=["doc_id", "n"]).collect()  # without texts the rows take another way
+    assert sorted((r.doc_id, r.n, r.taken, str(r.copies)) for r in light) == sorted((r.doc_id, r.n, r.taken, str(r.copies)) for r in rows)
     assert mixing.mix_sources(none).count() == 0
 
 
