@@ -73,7 +73,8 @@ def plan_cases(spark: SparkSession, profile: str, cases: DataFrame, dataset_id:
     one = spark.range(1).select(F.lit(version_id).alias("dataset_version_id"), F.lit(known["dataset_id"]).alias("dataset_id"), F.lit(version).alias("dataset_version"))
     routed = route(cases, groups)
     ids = profile_ids(raw_p)
-    ranges = chunk_table(one.select("dataset_version_id", F.lit(n).cast("long").alias("n")), size).withColumn("run_id", F.lit(run_id)).withColumn("id", C.stable_id(F.lit(run_id), F.col("ordinal_start"))).withColumns({"profile_group_id": F.lit("default"), "status": F.lit("pending"), **stamped})
+    ranges = spark.range(0, n, size).select(F.lit(version_id).alias("dataset_version_id"), F.col("id").alias("ordinal_start"), F.least(F.col("id") + size, F.lit(n)).alias("ordinal_end"))
+    ranges = ranges.withColumns({"run_id": F.lit(run_id), "id": C.stable_id(F.lit(run_id), F.col("ordinal_start")), "profile_group_id": F.lit("default"), "status": F.lit("pending"), **stamped})
     blobs = cases.dropDuplicates(["case_hash"]).select("case_hash", "task_type", F.col("input").alias("input_payload"), F.coalesce("expected", F.lit("null")).alias("expected_output"), F.coalesce("context", F.lit("null")).alias("context_payload"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "metadata", at.alias("created_at"))
     members = cases.select(F.lit(version_id).alias("dataset_version_id"), "case_id", F.col("ordinal").alias("case_ordinal"), "case_hash").withColumns(stamped)
     policy_hash = C.aggregation_policy_hash(raw_p)
