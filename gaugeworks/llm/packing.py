@@ -41,7 +41,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 class PieceEncoder:
     """Token ids of texts, each distinct piece encoded once (the store is emptied at `most` pieces)."""
 
-    def __init__(self, path: str, most: int = 800_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -213,7 +213,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, window:
 
         for batch in batches:
             names, (buf, offs) = batch.column("doc_id").to_pylist(), utf8(batch.column("text"))
-            for a, b in pieces(offs, 2 << 20):
+            for a, b in pieces(offs, 1 << 20):
                 ids, at = encoder.encode(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 for i in range(b - a):
                     held.append((names[a + i], ids[at[i] : at[i + 1]]))
