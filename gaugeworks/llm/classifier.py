@@ -30,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import LOWER, Poly, mixed, pieces, relieved, small_batches, table, unwrapped, utf8, word_spans, wrapped, written
+from .common import LOWER, Poly, mixed, pieces, relieve, relieved, small_batches, table, unwrapped, utf8, word_spans, wrapped, written
 
 BUCKETS, DIM, HIDDEN, MOST, THRESHOLD = 1 << 14, 24, 24, 3000, 0.3
 _CHUNK, _BLOCKS, _SALTS = 1 << 20, 64, 16  # bytes at a time; parts of the context sums; tasks that add up one of them first
@@ -249,16 +248,17 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD, own: b
     small_batches(docs.sparkSession)
     source = wrapped(docs, held_out=held_out(docs["doc_id"]), text_=F.coalesce(docs["text"], F.lit("")))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         poly = Poly(21)
-        for batch in batches:
-            buf, offsets = utf8(batch.column("text_"))
-            p = score(model, pooled(model.vectors, poly, buf, offsets))
-            cols = [batch.column("row_"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, ["row_", "held_out", "score", "predicted"])
-
-    kinds = StructType([f for f in source.schema if f.name != "text_"] + [StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    out = source.mapInArrow(relieved(run), kinds)
+        for batch in texts:
+            buf, offsets = utf8(batch)
+            yield pa.array(score(model, pooled(model.vectors, poly, buf, offsets)), pa.float64())
+        relieve()
+
+    # only the texts go to Python; said to be nondeterministic, so that a filter on the score is no second run
+    scored = F.arrow_udf(run, "double").asNondeterministic()
+    out = source.select("row_", "held_out", scored("text_").alias("score"))
+    out = out.select("row_", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
     return unwrapped(out, "held_out", "score", "predicted") if own else out
 
 
