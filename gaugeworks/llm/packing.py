@@ -213,7 +213,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, window:
 
         for batch in batches:
             names, (buf, offs) = batch.column("doc_id").to_pylist(), utf8(batch.column("text"))
-            for a, b in pieces(offs, 1 << 20):
+            for a, b in pieces(offs, 1 << 19):
                 ids, at = encoder.encode(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 for i in range(b - a):
                     held.append((names[a + i], ids[at[i] : at[i + 1]]))
