@@ -203,10 +203,10 @@ def _with_rows(rows: DataFrame, took: DataFrame, key: list[str], mine: tuple[str
     """Each row with what was taken of it. Rows of equal id, text and source share a list, from which each takes its own; only these are numbered."""
     each = written(took.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("taken", *[c for c in mine if c != "taken"]))).alias("each")))
     one, many = each.where(F.size("each") == 1), each.where(F.size("each") > 1)
-    out = rows.join(broadcast_if_small(one, 50_000), key).select("row_", F.col("each")[0].alias("x"))
+    out = rows.join(one, key).select("row_", F.col("each")[0].alias("x"))
     if not many.isEmpty():
         number = F.row_number().over(Window.partitionBy(*key).orderBy("th"))
-        again = rows.join(broadcast_if_small(many, 50_000, F.size("each")), key).withColumn("nth", number)
+        again = rows.join(many, key).withColumn("nth", number)
         out = out.union(again.select("row_", F.element_at("each", F.col("nth")).alias("x")))
     return out.select("row_", *[F.col("x")[c].alias(c) for c in mine])
 
