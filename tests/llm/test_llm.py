@@ -32,6 +32,15 @@ def corpus(seed=1, n=60):
     return [(i, t, None if i % 9 == 0 else f"s{i % 5}", i, "clash") for i, t in rows]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def small_plans(spark):
+    """These tables have a few rows: plans are interpreted, which spares compiling hundreds of them."""
+    old = spark.conf.get("spark.sql.codegen.wholeStage")
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    yield
+    spark.conf.set("spark.sql.codegen.wholeStage", old)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame(corpus(), SCHEMA)
