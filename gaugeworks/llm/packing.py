@@ -17,7 +17,6 @@ pieces. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -144,12 +143,6 @@ class PieceEncoder:
         return out, off
 
 
-@functools.lru_cache(1)
-def encoder_for(path: str) -> PieceEncoder:
-    """One for each Python worker, which keeps it from task to task; the store only saves time."""
-    return PieceEncoder(path)
-
-
 def assign(lengths: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
     """(document, start, sequence, tokens) of every piece of a window, in the order of placing."""
     total = int(lengths.sum())
@@ -192,7 +185,8 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, window:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = encoder_for(path), TaskContext.get().partitionId()
+        # a task's own: a worker that waits, or does something else next, holds no vocabulary and no pieces
+        encoder, part = PieceEncoder(path), TaskContext.get().partitionId()
         held: list[tuple] = []
         tokens = sequence = 0
 
