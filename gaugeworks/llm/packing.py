@@ -17,6 +17,7 @@ pieces. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -143,6 +144,12 @@ class PieceEncoder:
         return out, off
 
 
+@functools.lru_cache(1)
+def encoder_for(path: str) -> PieceEncoder:
+    """One for each Python worker, which keeps it from task to task; the store only saves time."""
+    return PieceEncoder(path)
+
+
 def assign(lengths: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int, int]]:
     """(document, start, sequence, tokens) of every piece of a window, in the order of placing."""
     total = int(lengths.sum())
@@ -175,8 +182,8 @@ def assign(lengths: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, in
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """doc_id, text -> one row per piece; with_ids adds the ids themselves."""
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, window: int = WINDOW, with_ids: bool = False, reuse: bool = True) -> DataFrame:
+    """doc_id, text -> one row per piece; with_ids adds the ids themselves. reuse=False: workers hold no vocabulary after a task, for half as much time again."""
     spark = docs.sparkSession
     small_batches(spark)
     path = path or vocabulary()
@@ -185,8 +192,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, window:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        # a task's own: a worker that waits, or does something else next, holds no vocabulary and no pieces
-        encoder, part = PieceEncoder(path), TaskContext.get().partitionId()
+        encoder, part = (encoder_for if reuse else PieceEncoder)(path), TaskContext.get().partitionId()
         held: list[tuple] = []
         tokens = sequence = 0
 
