@@ -657,6 +657,68 @@ def test_ngram_join_links_in_long_lists(spark, monkeypatch):
     assert [out[i] for i in range(len(sets))] == comp and len(set(comp)) > 10
 
 
+def test_ngram_join_few_texts(spark, monkeypatch):
+    """Random texts of a small vocabulary share rare shingles, but parities tell them apart; of a group of near copies of one text, the text itself is asked first."""
+    r = random.Random(11)
+    asked, plain = [], ngram_join.written
+
+    def written(df):
+        out = plain(df)
+        if "asks" in out.columns:
+            asked.append(sum(len(x.asks) for x in out.collect()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    texts = [" ".join(r.choices("abcdefghijkl", k=120)) for _ in range(300)]
+    out = ngram_join.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "component_id").collect()
+    assert all(x.doc_id == x.component_id for x in out) and sum(asked) < 20
+    asked.clear()
+    base = ["".join(r.choices("abcdefghij", k=7)) for _ in range(200)]
+    texts = [base, *([*base] for _ in range(120))]
+    for i, t in enumerate(texts[1:]):  # four words changed: near the base, hardly near one another
+        for at in r.sample(range(200), 4):
+            t[at] = f"w{i}x{at}"
+    out = ngram_join.similar_documents(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).select("component_id").collect()
+    assert {x.component_id for x in out} == {0} and sum(asked) < 2 * len(texts)
+
+
+def test_parities():
+    """The bound by parities is never above what two sets share, whatever their widths."""
+    r = np.random.default_rng(5)
+    for n in (1, 60, 64, 65, 200, 1000, 5000):
+        x = r.integers(0, 2**63, n, dtype=np.uint64)
+        y = np.unique(np.concatenate([x[: max(1, n * 9 // 10)], r.integers(0, 2**63, n // 5, dtype=np.uint64)]))
+        a, b = ngram_join.parities(x), ngram_join.parities(y)
+        width = min(len(a), len(b))
+        fold = lambda v: np.bitwise_xor.reduce(v.reshape(-1, width))  # noqa: E731, B023
+        assert int(np.bitwise_count((fold(a) ^ fold(b)).view(np.uint64)).sum()) <= len(np.setxor1d(x, y))
+        assert 64 <= 64 * len(a) <= 4096
+
+
+@pytest.mark.parametrize("signs", [0, 50_000])
+def test_ngram_join_many_asks(spark, signs, monkeypatch):
+    """Beyond ASKS only texts that are asked for are shuffled; the result is that of brute force."""
+    monkeypatch.setattr(ngram_join, "ASKS", 0)
+    monkeypatch.setattr(ngram_join, "SIGNS", signs)
+    monkeypatch.setattr(ngram_join, "CROWD", 2)
+    through, plain = [], ngram_join.may_hold
+
+    def may_hold(*a):
+        out = plain(*a)
+        through.append((out.where("may_").count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "may_hold", may_hold)
+    r = random.Random(12)
+    other = [(100 + i, " ".join("".join(r.choices("abcdefghij", k=7)) for _ in range(50))) for i in range(400)]
+    rows, _, comp = unnamed()
+    least = {c: min((i for (i, _), k in zip(rows, comp, strict=True) if k == c and i is not None), default=None) for c in comp}
+    want = [(i, least[c]) for (i, _), c in zip(rows, comp, strict=True)] + [(i, i) for i, _ in other]
+    got = ngram_join.similar_documents(spark.createDataFrame(rows + other, "doc_id long, text string")).select("doc_id", "component_id")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert through and all(n < 60 < 400 < of for n, of in through)
+
+
 def test_heap_merge():
     r = random.Random(3)
     lists = [sorted(r.sample(range(40), r.randint(1, 30))) for _ in range(12)]
