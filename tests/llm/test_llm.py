@@ -625,6 +625,35 @@ def test_pipeline_near_duplicates(spark):
         assert sum(x in g and x[:2] == min(g)[:2] for x in got) == 1 if g[0][2] else got.count(g[0]) == 1
 
 
+def test_pipeline_near_duplicates_many(spark, monkeypatch):
+    """More rows than are broadcast: those that are surely chosen meet no shuffle, and the result is the same."""
+    import corpus_pipeline
+
+    through, plain = [], corpus_pipeline.may_hold
+
+    def may_hold(*a):
+        out = plain(*a)
+        through.append((out.where("may_").count(), out.count()))
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, "FEW_CHOSEN", 0)
+    monkeypatch.setattr(corpus_pipeline, "may_hold", may_hold)
+    r = random.Random(13)
+    rows, sets, comp = unnamed()
+    other = [(100 + i, " ".join("".join(r.choices("abcdefghij", k=7)) for _ in range(8))) for i in range(300)]
+    docs = spark.createDataFrame([(*x, "s") for x in rows + other], "doc_id long, text string, may_ string")
+    groups = {}
+    for (i, t), s, c in zip(rows, sets, comp, strict=True):
+        groups.setdefault(("c", c) if s else ("r", i, t), []).append((i is None, i or 0, t))
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(x.doc_id is None, x.doc_id or 0, x.text) for x in out.collect()]
+    assert sorted(x[1:] for x in got if x[1] >= 100) == other and len(got) == len(groups) + len(other)
+    for g in groups.values():
+        assert sum(x in g and x[:2] == min(g)[:2] for x in got) == 1 if g[0][2] else got.count(g[0]) == 1
+    assert through[0][0] < 60 and through[0][1] == len(rows) + len(other)
+
+
 def test_ngram_join_common_passage(spark, monkeypatch):
     """A passage in every document that is too little for a link makes no work: its lists are long, but no groups, and so no texts, are compared."""
     r = random.Random(4)
