@@ -841,6 +841,22 @@ def test_pipeline_empty(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).count() == 0, name
 
 
+def test_pipeline_stages_relieve_executors(spark, tmp_path, monkeypatch):
+    """Each stage first lets the executors collect their garbage in tasks, not only in the driver: a heap grown by an earlier stage is given back."""
+    import corpus_pipeline
+    from gaugeworks.llm import common
+
+    monkeypatch.setattr(common, "collected", lambda spark: None)
+    docs = spark.createDataFrame([], "doc_id long, text string, source string, lang string, n_chars long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if re.search("Old|MarkSweep", b.getName())]
+    full = lambda: sum(b.getCollectionCount() for b in beans)
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, str(tmp_path))
+        assert full() > before, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
